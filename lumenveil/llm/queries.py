@@ -36,4 +36,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash, op8_decontaminate, op9_packing)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._common import materialize
+    from .pii import accepted, candidates, digest, fit
+
+    found = materialize(candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii")
+    return digest(found.withColumn("_all", accepted(fit(found))))
+
+
+QUERIES = {f.__name__: f for f in (op3_pii, op7_simhash, op8_decontaminate, op9_packing)}
