@@ -45,3 +45,46 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """
     most = min(BROADCAST_ROWS, BROADCAST_BYTES // max(1, row_bytes))
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def add_columns(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], make) -> DataFrame:
+    """docs plus columns computed from the whole text. fields: (name, DDL type), replacing columns of those names.
+
+    make() is called once in each task and gives a function from a list of texts (or None) to a list of
+    rows of new values.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    new = [n for n, _ in fields]
+    kept = [f for f in docs.schema.fields if f.name not in new]
+    types = [to_arrow_type(_parse_datatype_string(t)) for _, t in fields]
+    names = [f.name for f in kept]
+    at = names.index(text_col)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            rows = work(batch.column(at).to_pylist())
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *new])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {t}" for n, t in fields])
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+
+
+def bounded_sample(labels: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most `most` rows of labels, the same ones whatever the partitioning."""
+    return labels.orderBy(F.xxhash64(id_col), id_col).limit(most)
+
+
+def fit_in_one_task(sample: DataFrame, fit) -> bytes:
+    """fit(rows as a list of dicts) -> bytes, run in one executor task. The sample must be bounded."""
+    import pyarrow as pa
+
+    def run(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([fit(rows)], pa.binary())], names=["model"])
+
+    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])

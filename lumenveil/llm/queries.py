@@ -44,4 +44,19 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found.withColumn("_all", accepted(fit(found))))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op7_simhash, op8_decontaminate, op9_packing)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op3_pii, op5_toxicity, op10_quality, op7_simhash, op8_decontaminate, op9_packing)}
