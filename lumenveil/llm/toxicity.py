@@ -70,13 +70,15 @@ def _distinct(texts: list[set[str]]) -> list[int]:
     return kept
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, l2: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression, the last one the intercept; full-batch Adam."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 2e-5) -> np.ndarray:
+    """Weights of a logistic regression with balanced classes, the last one the intercept; full-batch Adam."""
+    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    share = (np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) / len(y)).astype(x.dtype)
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, m, v = (np.zeros(x.shape[1], x.dtype) for _ in range(3))
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + l2 * np.append(w[:-1], 0)
+        g = x.T @ ((p - y) * share) + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
