@@ -22,4 +22,23 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
   coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.w) AS contaminated
 FROM dw d LEFT JOIN pos p USING (doc_id) LEFT JOIN its t USING (doc_id)
 """
-ORACLE = {"op8_decontaminate": OP8}
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY d)
+SELECT p.page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN g.first IS NULL OR g.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.first IS NULL OR g.first = p.page_id THEN NULL ELSE g.first END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND octet_length(p.b) >= 100
+"""
+
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, o.vec_id, list_distance(q.e, o.e) AS score
+  FROM v q JOIN v o ON q.vec_id % 100 = 0 AND o.vec_id <> q.vec_id AND len(q.e) = len(o.e))
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM d) WHERE r <= 10
+"""
+
+ORACLE = {"op2_warc": OP2, "op4_neighbours": OP4, "op8_decontaminate": OP8}

@@ -59,4 +59,56 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_toxicity, op10_quality, op7_simhash, op8_decontaminate, op9_packing)}
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, mask_spans, read_back, unescape, Template
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
+    back = read_back(format_chats(rows.unionByName(extra))).withColumn("_loss", mask_spans(F.col("segments")))
+    learned = f"transform(_loss, x -> {unescape('substring(formatted, x.start + 1, x.length)', Template())})"
+    back = back.withColumn("_learned", F.expr(f"array_join({learned}, '')"))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.expr("array_join(transform(turns, x -> concat(x.role, '\\n', x.text, '\\n')), '')"), 256).alias("turns_sha256"),
+        F.length("_learned").cast("bigint").alias("loss_chars"),
+        F.sha2("_learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
+        "first_invalid",
+    )
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._common import fresh_path
+    from .warc import read_archive, write_archive
+
+    path = fresh_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), path)
+    records = read_archive(spark, path, ["record_id", "record_type", "payload_digest", "refers_to", "payload_bytes", "computed_digest"])
+    number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("bigint")
+    return records.select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        # Of a response from the payload that was read; a revisit has its header alone.
+        F.coalesce("computed_digest", "payload_digest").alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_warc, op3_pii, op4_neighbours, op5_toxicity, op6_chat, op10_quality, op7_simhash, op8_decontaminate, op9_packing)}
