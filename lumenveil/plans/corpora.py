@@ -66,7 +66,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     line = F.concat_ws(
         " ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string")), level, F.col("event_type"),
-        F.concat(F.lit("code="), (500 + F.col("event_id") % 13).cast("string")), F.concat(F.lit("id="), F.col("event_id").cast("string")),
+        F.concat(F.lit("status="), (200 + F.col("event_id") % 31 * 10).cast("string")), F.concat(F.lit("id="), F.col("event_id").cast("string")),
     )
     return df.select("user_id", "event_id", "ts", line.alias("line"))
 

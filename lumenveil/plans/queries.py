@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import detect, injection, lexical, overlap, summary, transform
 from . import corpora
 
-TASK = "why did the error and the view events fail with code 503"
+TASK = "why did the error fail with 500"
 
 
 def _digest(array: str) -> Column:
