@@ -151,6 +151,69 @@ _SELECTED = f"""WITH RECURSIVE {first_fit(_WINDOWS, 3000, 8)}
 SELECT ff.n AS position, source, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, score, (SELECT count(*) FROM rk) AS candidates,
   CAST((SELECT (max(used) + 3) // 4 FROM ff) AS BIGINT) AS tokens FROM ff JOIN rk USING (rn) WHERE took"""
 
+# Packing: at most five lines and 256 bytes; every log line is one fragment.
+_PACKED = f"""{_LOGS}, lb AS (SELECT source, line, i, octet_length(encode(line)) AS b, 'svc-' || regexp_extract(line, ' svc-([0-9]+) ', 1) AS anchor FROM ln),
+pk AS (SELECT source, i, CAST(1 AS BIGINT) AS c, CAST(1 AS BIGINT) AS k, CAST(b AS BIGINT) AS size FROM lb WHERE i = 1
+  UNION ALL SELECT lb.source, lb.i, if(pk.k >= 5 OR pk.size + 1 + lb.b > 256, pk.c + 1, pk.c), if(pk.k >= 5 OR pk.size + 1 + lb.b > 256, 1, pk.k + 1),
+    if(pk.k >= 5 OR pk.size + 1 + lb.b > 256, lb.b, pk.size + 1 + lb.b) FROM pk JOIN lb ON lb.source = pk.source AND lb.i = pk.i + 1),
+cand AS (SELECT source, CAST(min(i) AS BIGINT) AS start_line, CAST(max(i) AS BIGINT) AS end_line, min(anchor) AS anchor, string_agg(line, chr(10) ORDER BY i) AS text FROM pk JOIN lb USING (source, i) GROUP BY source, c)"""
+_PACKING = f"WITH RECURSIVE {_PACKED} SELECT source, start_line, end_line, anchor, sha256(text) AS text_sha256 FROM cand"
+_ANCHORS = f"WITH {_LOGS} SELECT DISTINCT 'svc-' || regexp_extract(line, ' svc-([0-9]+) ', 1) AS anchor FROM ln"
+_VEC = """vec AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT v AS q FROM vec WHERE vec_id = 0), nv AS (SELECT count(*) AS n FROM embeddings),
+mix AS (SELECT vec_id, q, list_transform(list_zip(q, v), lambda p: p[1] + 0.8::DOUBLE * p[2]) AS m FROM vec, q)"""
+_COSINE = f"WITH {_VEC} SELECT vec_id, CAST(greatest(0, least(1000000, round_even((greatest(-1, least(1, list_cosine_similarity(v, q))) + 1) * 500000, 0))) AS BIGINT) AS score FROM vec, q"
+# Seven producers; families share no word, since 'svc' and digits are below three letters or no letters... but svc.
+_CALIBRATED = """an AS (SELECT DISTINCT anchor FROM cand), si AS (SELECT anchor, greatest(-1, least(1, list_cosine_similarity(m, q))) AS s FROM an, nv, mix WHERE vec_id = CAST(regexp_extract(anchor, '[0-9]+') AS BIGINT) % n),
+tp AS (SELECT count(*) AS n, max(s) AS top, median(s) AS mid FROM si), cal AS (SELECT anchor, greatest(0, if(family, greatest(s, top), s) - mid) AS affinity FROM (
+  SELECT si.*, tp.*, true AS family FROM si, tp WHERE tp.n >= 4 AND top >= 0.78 AND top - mid >= 0.035))"""
+_SCOPE = f"WITH RECURSIVE {_PACKED}, {_VEC}, {_CALIBRATED} SELECT anchor, CAST(round_even(affinity * 1000000, 0) AS BIGINT) AS affinity FROM cal"
+_SIG = {
+    "change": r"\bincreased\b", "boundary": r"\b(limit|quota)\b.{0,64}\b(reached|hit|zero)\b", "causal": r"\b(after|because)\b", "abnormal": r"\bno\s+space\b", "multiplier": r"\b12x\b",
+    "benign": r"\bcompleted\s+successfully\b",
+}
+_SIGNALS = f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') || (['', ' errors increased after the limit was reached', ' job completed successfully', ' 12x retries, no space', ' because quota hit zero'])[CAST(conv_id % 5 + 1 AS INTEGER)] AS text FROM conversations),
+w AS (SELECT *, {_WORDS.format('text')} AS k FROM t)
+SELECT conv_id, turn, CAST(len(list_filter(k, lambda x: x IN ('did', 'pay', 'retries', 'reach', 'limit'))) AS BIGINT) AS task_overlap, CAST(1 AS BIGINT) AS source_overlap, list_contains(k, 'retries') AS hard,
+  {', '.join(f"regexp_matches(text, '(?i){p}') AS {n}" for n, p in _SIG.items())} FROM w"""
+_HYBRID = f"""{_PACKED}, {_VEC}, {_CALIBRATED}, sm AS (SELECT c.*, greatest(-1, least(1, list_cosine_similarity(m, q))) AS s, cal.affinity, (SELECT count(*) FROM cal) > 0 AS calibrated FROM cand c CROSS JOIN nv JOIN mix ON mix.vec_id = (length(text) * 31 + start_line) % n LEFT JOIN cal USING (anchor)),
+tk AS (SELECT *, {_WORDS.format('text')} AS k FROM sm),
+hs AS (SELECT *, list_contains(k, 'error') OR regexp_matches(text, '\\b(ERROR|FATAL)\\b') OR regexp_matches(text, '(?:^|[^0-9])5[0-9][0-9](?:[^0-9]|$)') AS hard, len(list_filter(k, lambda x: x IN ('did', 'error', 'fail', '500'))) AS ov FROM tk),
+sc AS (SELECT *, round_even((s + 1) * 500000, 0) AS sem FROM hs),
+hy AS (SELECT source, start_line, end_line, text, anchor, k, if(hard, 'supported', 'neutral') AS lane, CAST(sem AS BIGINT) AS semantic,
+  CAST(sem + 1500 * least(ov, 6) + coalesce(round_even(1000000 * affinity, 0), 0) + if(hard, 20000, 0) AS BIGINT) AS score, m_id FROM (SELECT *, (length(text) * 31 + start_line) % (SELECT n FROM nv) AS m_id FROM sc) WHERE s >= if(hard, 0.70, 0.74))""".replace("sc AS (SELECT *, round_even", "sq AS (SELECT *, round_even").replace("FROM sc) WHERE s >=", "FROM sq) WHERE s >=")
+_HYBRID_SCORES = f"WITH RECURSIVE {_HYBRID} SELECT source, start_line, lane, semantic, score FROM hy"
+# Greedy with state: neutral taken, and a list of taken (words, vector) for near duplicates.
+_HYBRID_SELECTED = f"""WITH RECURSIVE {_HYBRID}, rk AS (SELECT hy.*, mix.m AS vec, row_number() OVER (ORDER BY score DESC, semantic DESC, source, start_line) AS rn,
+  octet_length(encode(CAST(to_json({{'end_line': end_line, 'score': score, 'source': source, 'start_line': start_line, 'text': text}}) AS VARCHAR))) AS b FROM hy JOIN mix ON mix.vec_id = m_id),
+ff AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS n, CAST(2 AS BIGINT) AS used, false AS took, 0 AS neutral, CAST([] AS STRUCT(k VARCHAR[], v DOUBLE[])[]) AS taken
+  UNION ALL SELECT x.rn, if(fits, n + 1, n), if(fits, u, used), fits, if(fits AND lane = 'neutral', neutral + 1, neutral), if(fits, list_append(taken, {{'k': k, 'v': vec}}), taken) FROM (
+    SELECT rk.rn, ff.n, ff.used, ff.neutral, ff.taken, rk.k, rk.vec, rk.lane, ff.used + rk.b + if(ff.n > 0, 1, 0) AS u,
+      ff.n < 8 AND ff.used + rk.b + if(ff.n > 0, 1, 0) <= 12000 AND NOT (rk.lane = 'neutral' AND ff.neutral >= 1)
+      AND len(list_filter(ff.taken, lambda t: list_cosine_similarity(t.v, rk.vec) >= 0.98 AND len(list_intersect(t.k, rk.k)) >= 0.8 * len(list_distinct(list_concat(t.k, rk.k))) AND len(t.k) >= 3 AND len(rk.k) >= 3)) = 0 AS fits
+    FROM ff JOIN rk ON rk.rn = ff.rn + 1 WHERE ff.n < 8) x)
+SELECT ff.n AS position, source, start_line, score, lane, (SELECT count(*) FROM rk) AS scored, CAST((SELECT (max(used) + 3) // 4 FROM ff) AS BIGINT) AS tokens FROM ff JOIN rk USING (rn) WHERE took"""
+
+_GATE = f"""WITH {SEEDED} SELECT doc_id, CAST(len(list_filter(kinds, lambda k: k NOT IN ('', 'PROMPT_INJECTION', 'DATA_EXFILTRATION'))) AS BIGINT) AS sensitive_spans,
+  CAST(len(list_filter(kinds, lambda k: k IN ('PROMPT_INJECTION', 'DATA_EXFILTRATION'))) AS BIGINT) AS instruction_spans, CAST(0 AS BIGINT) AS left_over FROM seeded"""
+_LEAKS = f"WITH {DOCS}, {HITS} SELECT doc_id, CAST(len(list_distinct(list_concat(list_concat(emails, phones), ips))) AS BIGINT) AS leaked_raw, CAST(0 AS BIGINT) AS leaked FROM hits WHERE len(emails) + len(phones) + len(ips) > 0"
+_DIGITS = f"""WITH {DOCS}, {HITS}, v AS (SELECT DISTINCT unnest(phones) AS v FROM hits), d AS (SELECT DISTINCT v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM v WHERE v LIKE '+1%'),
+p AS (SELECT d FROM d ORDER BY d LIMIT 3) SELECT (SELECT count(*) FROM p) AS payloads, (SELECT count(DISTINCT v) FROM v JOIN p ON contains(p.d, regexp_replace(v, '[^0-9]', '', 'g'))) AS leaks"""
+_GATED = "SELECT * FROM (VALUES ('good', true), ('extra_key', false), ('missing_key', false), ('wrong_type', false), ('duplicate_key', false), ('nan', false), ('not_json', false)) AS v(name, accepted)"
+_RATIO = f"""WITH {DOCS}, t AS (SELECT doc_id, (octet_length(encode(text)) + 3) // 4 AS o, (octet_length(encode(left(text, 300))) + 3) // 4 AS k FROM docs)
+SELECT doc_id, CAST(round_even(if(o = 0, 0, round_even(1 - k / o, 6)) * 1000000, 0) AS BIGINT) AS millionths FROM t"""
+_CAPSULE = f"""WITH RECURSIVE {first_fit(_WINDOWS, 3000, 8)} SELECT 'fact_' || printf('%03d', ff.n) AS id, source, if(start_line = end_line, 'L' || start_line, 'L' || start_line || '-L' || end_line) AS local_ref, score,
+  'ALLOW' AS decision, 'LOW' AS risk_level FROM ff JOIN rk USING (rn) WHERE took"""
+_PR = r"""WITH r AS (SELECT toxic = 1 AS y, regexp_matches(lower(text), '\b(idiot|moron|clown|scum)\b') AS p FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE NOT y AND NOT p) AS tn, count(*) FILTER (WHERE y AND NOT p) AS fn FROM r)
+SELECT *, CAST(if(tp + fp = 0, NULL, round_even(tp / (tp + fp), 6)) * 1000000 AS BIGINT) AS precision, CAST(if(tp + fn = 0, NULL, round_even(tp / (tp + fn), 6)) * 1000000 AS BIGINT) AS recall FROM c"""
+_RETRIEVAL = """WITH b AS (SELECT l_orderkey, l_suppkey, max(l_extendedprice) AS p, bool_or(l_quantity > 30) AS r FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_suppkey) AS n FROM b),
+g AS (SELECT l_orderkey, count(*) FILTER (WHERE r) AS a, count(*) FILTER (WHERE r AND n <= 3) AS h, count(*) FILTER (WHERE n <= 3) AS t, min(n) FILTER (WHERE r) AS f FROM k GROUP BY l_orderkey)
+SELECT l_orderkey, CAST(round_even(if(a = 0, NULL, h / a) * 1000000, 0) AS BIGINT) AS recall_at_k, CAST(round_even(h / t * 1000000, 0) AS BIGINT) AS precision_at_k, CAST(round_even(coalesce(1 / f, 0) * 1000000, 0) AS BIGINT) AS reciprocal_rank FROM g"""
+_PERCENTILE = "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.95) AS percentile FROM lineitem GROUP BY l_returnflag"
+_AB = """WITH m AS (SELECT l_suppkey, l_returnflag, max(l_quantity) AS m, max(l_discount) < 0.1 AS ok FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL)
+SELECT l_suppkey, if(bool_and(ok), round_even(max(m) FILTER (WHERE l_returnflag = 'R') - max(m) FILTER (WHERE l_returnflag = 'A'), 6), NULL) AS delta FROM m GROUP BY l_suppkey"""
+_FORBIDDEN = f"""WITH {SEEDED} SELECT DISTINCT v AS value FROM (SELECT unnest(CASE WHEN payload LIKE 'reach 138%' THEN ['138-1234-5678', 'jane@mail.example.org'] WHEN payload LIKE 'db postgres%' THEN ['p@db.invalid'] ELSE [] END) AS v FROM seeded UNION ALL SELECT 'listed-value')"""
+
 ORACLE = {
     "pii_email_findings": _kind("emails"), "pii_phone_findings": _kind("phones"), "pii_ipv4_findings": _kind("ips"), "email_spans": _EMAIL_SPANS, "secret_assignment_findings": _ASSIGNED,
     "seeded_findings": f"WITH {SEEDED} SELECT doc_id, types FROM seeded", "findings_public": _PUBLIC, "security_summary": _SUMMARY, "risk_and_decision": _RISK, "corpus_decision": _CORPUS_RISK,
@@ -158,4 +221,7 @@ ORACLE = {
     "task_blocked": _TASKS, "redacted_documents": _REDACTED, "pseudonym_registry": _REGISTRY, "pseudonymized_documents": _PSEUDO, "seeded_transformed": _TRANSFORMED, "safe_content": _SAFE,
     "overlap_resolved": _OVERLAP, "quarantine_merged": _QUARANTINE, "merged_interval_count": _MERGED, "token_estimates": _TOKENS, "stable_json_bytes": _JSON, "split_lines": _LINES,
     "safe_sources": _SOURCES, "unique_sources": _UNIQUE, "task_tokens": _TASK_TOKENS, "line_scores": _SCORES, "evidence_windows": _EVIDENCE, "selected_facts": _SELECTED,
+    "candidate_packing": _PACKING, "scope_anchors": _ANCHORS, "cosine_quantized": _COSINE, "scope_calibration": _SCOPE, "hybrid_signals": _SIGNALS, "hybrid_scores": _HYBRID_SCORES,
+    "hybrid_selected": _HYBRID_SELECTED, "gate_inspection": _GATE, "registry_leaks": _LEAKS, "digit_leaks": _DIGITS, "response_gate": _GATED, "reduction_ratio": _RATIO, "analyze_capsule": _CAPSULE,
+    "precision_recall": _PR, "retrieval_metrics": _RETRIEVAL, "nearest_rank_percentile": _PERCENTILE, "ab_delta": _AB, "forbidden_values": _FORBIDDEN,
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
-from ..operators import detect, injection, lexical, overlap, summary, transform
+from ..functions.shared import written
+from ..operators import capsule, detect, gate, hybrid, injection, lexical, metrics, overlap, summary, transform
 from . import corpora
 
 TASK = "why did the error fail with 500"
@@ -195,7 +198,194 @@ def selected_facts(spark, sf_dir):
     return spark.createDataFrame(rows, "position bigint, source string, start_line bigint, end_line bigint, score bigint").withColumn("candidates", F.lit(n).cast("bigint")).withColumn("tokens", F.lit(tokens).cast("bigint"))
 
 
+# ---------------------------------------------------------------- hybrid evidence
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    return hybrid.candidates(corpora.logs(spark, sf_dir).withColumnRenamed("path", "source"))
+
+
+def candidate_packing(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("source", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "anchor", F.sha2("text", 256).alias("text_sha256"))
+
+
+def scope_anchors(spark, sf_dir):
+    return hybrid.anchors(_candidates(spark, sf_dir))
+
+
+def utf8_fragments(spark, sf_dir):
+    """Fragments of whole documents: how many, and that they stay in bounds and lose nothing."""
+    @F.pandas_udf("struct<n:bigint,largest:bigint,first:bigint>")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        parts = [hybrid.utf8_fragments(t) for t in texts]
+        return pd.DataFrame({"n": [len(p) for p in parts], "largest": [max(len(x.encode()) for x in p) for p in parts], "first": [len(p[0]) for p in parts]})
+
+    df = corpora.docs(spark, sf_dir).withColumn("c", cut("text"))
+    return df.select("doc_id", "c.n", (F.col("c.largest") <= 256).alias("bounded"), F.col("c.first").alias("first_chars"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return df.select("vec_id", F.expr("transform(embedding, x -> cast(x AS double))").alias("v"))
+
+
+def _query(spark, sf_dir) -> list[float]:
+    return list(_vectors(spark, sf_dir).filter("vec_id = 0").first()["v"])
+
+
+def cosine_quantized(spark, sf_dir):
+    """Every vector against the query vector 0."""
+    q = "array(" + ", ".join(f"{x!r}D" for x in _query(spark, sf_dir)) + ")"
+    return _vectors(spark, sf_dir).select("vec_id", F.expr(hybrid.quantized(hybrid.cosine("v", q))).cast("bigint").alias("score"))
+
+
+def _embedded(spark, sf_dir, df: DataFrame, key: str) -> DataFrame:
+    """Stand-in for an embedding model: the query's vector plus 0.8 of the vector that a key points at."""
+    q = "array(" + ", ".join(f"{x!r}D" for x in _query(spark, sf_dir)) + ")"
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    vectors = _vectors(spark, sf_dir).select("vec_id", F.expr(f"zip_with({q}, v, (a, b) -> a + 0.8D * b)").alias("vector"))
+    return df.withColumn("vec_id", F.expr(f"pmod({key}, {n})")).join(vectors, "vec_id").drop("vec_id")
+
+
+def _similar_anchors(spark, sf_dir) -> DataFrame:
+    q = "array(" + ", ".join(f"{x!r}D" for x in _query(spark, sf_dir)) + ")"
+    names = hybrid.anchors(_candidates(spark, sf_dir))
+    found = _embedded(spark, sf_dir, names, "cast(regexp_extract(anchor, '[0-9]+', 0) AS bigint)")
+    return found.select("anchor", F.expr(hybrid.cosine("vector", q)).alias("similarity"))
+
+
+def scope_calibration(spark, sf_dir):
+    got = hybrid.calibrate(_similar_anchors(spark, sf_dir))
+    if got is None:
+        return spark.createDataFrame([], "anchor string, affinity bigint")
+    return got.select("anchor", F.expr("cast(bround(affinity * 1000000) AS bigint)").alias("affinity"))
+
+
+def hybrid_signals(spark, sf_dir):
+    """Of every turn of the conversations, and of a line of signal words for one in five."""
+    words = ["", " errors increased after the limit was reached", " job completed successfully", " 12x retries, no space", " because quota hit zero"]
+    df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    extra = F.element_at(F.array(*map(F.lit, words)), (F.col("conv_id") % 5 + 1).cast("int"))
+    rows = df.select("conv_id", "turn", F.concat(F.lit("pay/log_"), F.col("role")).alias("source"), F.concat(F.coalesce("text", F.lit("")), extra).alias("text"))
+    got = hybrid.signals(rows, "why did pay retries reach the limit")
+    return got.select("conv_id", "turn", *[F.col(c).cast("bigint").alias(c) for c in ("task_overlap", "source_overlap")], "hard", *fixed.SIGNALS)
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    cands = _embedded(spark, sf_dir, _candidates(spark, sf_dir), "length(text) * 31 + start_line")
+    return hybrid.scored(cands, TASK, _query(spark, sf_dir), hybrid.calibrate(_similar_anchors(spark, sf_dir)))
+
+
+def hybrid_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("source", F.col("start_line").cast("bigint").alias("start_line"), "lane", F.col("semantic").cast("bigint").alias("semantic"), F.col("score").cast("bigint").alias("score"))
+
+
+def hybrid_selected(spark, sf_dir):
+    facts, tokens, n = hybrid.select(_scored(spark, sf_dir), 3000, True)
+    rows = [(i + 1, f["source"], f["start_line"], f["score"], f["lane"], n, tokens) for i, f in enumerate(facts)]
+    return spark.createDataFrame(rows, "position bigint, source string, start_line bigint, score bigint, lane string, scored bigint, tokens bigint")
+
+
+# ---------------------------------------------------------------- gate and capsule
+
+
+def gate_inspection(spark, sf_dir):
+    """What the gate counts in raw texts, and that transformed ones are clean."""
+    found = written(_seeded(spark, sf_dir), "found")
+    raw = gate.inspect_rows(found, "text", "findings").select("doc_id", "sensitive_spans", "instruction_spans")
+    done = transform.redact(found)
+    after = gate.inspect_rows(done, "transformed").select("doc_id", F.expr("sensitive_spans + instruction_spans").alias("left_over"))
+    return raw.join(after, "doc_id")
+
+
+def registry_leaks(spark, sf_dir):
+    """How many protected values an untransformed and a transformed text of their own document hold."""
+    done = transform.redact(detect.detect_pii(corpora.docs(spark, sf_dir))).filter("size(originals) > 0")
+    raw = gate.own_leaks(done, "text").withColumnRenamed("leaked", "leaked_raw")
+    return gate.own_leaks(raw).select("doc_id", "leaked_raw", "leaked")
+
+
+def digit_leaks(spark, sf_dir):
+    """Registered phone numbers that a payload holds as bare digits."""
+    planned = transform.plan(detect.detect_pii(corpora.docs(spark, sf_dir)))
+    values = planned.select(F.explode("originals").alias("value")).distinct()
+    phones = values.filter("value LIKE '+1%'")
+    payload = [r[0] for r in phones.select(F.regexp_replace("value", "[^0-9]", "").alias("d")).orderBy("d").limit(3).collect()]
+    hit = gate.relevant_values(values, payload)
+    return spark.createDataFrame([(len(payload), len(hit))], "payloads bigint, leaks bigint")
+
+
+def response_gate(spark, sf_dir):
+    """A health response and ways to break it: what the gate lets through."""
+    import json
+
+    from . import api
+
+    good = capsule.stable_json(api.health())
+    body = json.loads(good)
+    cases = {
+        "good": good, "extra_key": capsule.stable_json(body | {"x": 1}), "missing_key": capsule.stable_json({k: v for k, v in body.items() if k != "status"}), "wrong_type": capsule.stable_json(body | {"status": 1}),
+        "duplicate_key": good.replace('"status":"ok"', '"status":"ok","status":"ok"'), "nan": good.replace('"ok"', "NaN"), "not_json": good[:-1],
+    }
+    rows = []
+    for name, raw in cases.items():
+        try:
+            gate.validate(raw, "success", "health")
+            rows.append((name, True))
+        except gate.Refused:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "name string, accepted boolean")
+
+
+def reduction_ratio(spark, sf_dir):
+    df = corpora.docs(spark, sf_dir).select("doc_id", F.expr(T.estimate_tokens("text")).alias("original"), F.expr(T.estimate_tokens("left(text, 300)")).alias("kept"))
+    return df.select("doc_id", F.expr(f"cast(bround({summary.reduction('kept', 'original')} * 1000000) AS bigint)").alias("millionths"))
+
+
+def analyze_capsule(spark, sf_dir):
+    """A capsule over all logs: its evidence and decision."""
+    from . import api
+
+    got = api.analyze(spark, TASK, corpora.logs(spark, sf_dir))
+    facts = got["safe_context"]["facts"]
+    rows = [(f["id"], f["source"], f["local_ref"], f["selection_score"], got["decision"], got["risk_level"]) for f in facts]
+    return spark.createDataFrame(rows, "id string, source string, local_ref string, score bigint, decision string, risk_level string")
+
+
+# ---------------------------------------------------------------- metrics
+
+
+def precision_recall(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").join(docs, "doc_id")
+    got = metrics.classification(rows, "toxic = 1", "lower(text) RLIKE '\\\\b(idiot|moron|clown|scum)\\\\b'")
+    return got.select("tp", "fp", "tn", "fn", F.expr("cast(bround(precision * 1000000) AS bigint)").alias("precision"), F.expr("cast(bround(recall * 1000000) AS bigint)").alias("recall"))
+
+
+def retrieval_metrics(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_extendedprice", (F.col("l_quantity") > 30).alias("relevant"))
+    got = metrics.retrieval(rows.withColumn("o", -F.col("l_extendedprice")), 3, "l_orderkey", "l_suppkey", ("o",))
+    six = lambda c: F.expr(f"cast(bround({c} * 1000000) AS bigint)").alias(c)
+    return got.select("l_orderkey", six("recall_at_k"), six("precision_at_k"), six("reciprocal_rank"))
+
+
+def nearest_rank_percentile(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return metrics.nearest_rank(rows, "l_returnflag", "l_extendedprice", 0.95)
+
+
+def ab_delta(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag IN ('A', 'R')")
+    means = rows.groupBy("l_suppkey", "l_returnflag").agg(F.max("l_quantity").alias("m"), (F.max("l_discount") < 0.1).alias("ok"))
+    return metrics.compare(means, "l_suppkey", "l_returnflag", "A", "R", "m", "ok")
+
+
+def forbidden_values(spark, sf_dir):
+    return metrics.forbidden_values(corpora.seeded(spark, sf_dir), ["listed-value"])
+
+
 _NAMES = """pii_email_findings pii_phone_findings pii_ipv4_findings email_spans secret_assignment_findings seeded_findings findings_public security_summary risk_and_decision corpus_decision
 corpus_stats injection_documents html_comments task_blocked redacted_documents pseudonym_registry pseudonymized_documents seeded_transformed safe_content overlap_resolved quarantine_merged
-merged_interval_count token_estimates stable_json_bytes split_lines safe_sources unique_sources task_tokens line_scores evidence_windows selected_facts""".split()
+merged_interval_count token_estimates stable_json_bytes split_lines safe_sources unique_sources task_tokens line_scores evidence_windows selected_facts candidate_packing scope_anchors utf8_fragments cosine_quantized scope_calibration hybrid_signals hybrid_scores hybrid_selected gate_inspection
+registry_leaks digit_leaks response_gate reduction_ratio analyze_capsule precision_recall retrieval_metrics nearest_rank_percentile ab_delta forbidden_values""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
