@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +122,7 @@ def decontaminate(
     spans are the hit passages in the original text, in code points, end exclusive.
     """
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text)]
+    shared = [spark.sparkContext.broadcast((uuid.uuid4().hex, b)) for b in _blocks(benchmark, item_col, item_text)]
     item_type = benchmark.schema[item_col].dataType.simpleString()
     fields = [f for f in docs.schema.fields if f.name not in ("n_words", "n_hit", "items", "spans")]
     names = [f.name for f in fields]
@@ -160,11 +161,12 @@ _BUILT: dict = {}
 
 def _machine(block, window: int):
     """One automaton for each block and worker process."""
-    key = (block.id if hasattr(block, "id") else id(block), window)
+    name, items = block.value
+    key = (name, window)
     if key not in _BUILT:
         if len(_BUILT) > 8:
             _BUILT.clear()
-        _BUILT[key] = automaton(block.value, window)
+        _BUILT[key] = automaton(items, window)
     return _BUILT[key]
 
 
