@@ -179,7 +179,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without records has no partitions
+            return
         schema = pa.schema([(n, ARROW[n]) for n in self.names])
         deep = bool(DEEP & set(self.names))
         rows: list[dict] = []

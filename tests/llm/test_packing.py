@@ -54,7 +54,7 @@ def test_large_histogram_meets_the_bound():
     r = random.Random(5)
     hist = {r.randint(1, 4096): r.randint(1, 10**6) for _ in range(900)}
     patterns = P.pack(hist)
-    assert sum(n for _, n in patterns) <= 1.001 * P.bound(hist, 4096)
+    assert sum(n for _, n in patterns) <= 1.002 * P.bound(hist, 4096)
 
 
 ODD = ["", " ", "a\x1cb c", "<|endoftext|> x<|startoftext|>y", "'s 're ÀÉ İx ΑΣ ² ½ Ⅷ z", "　 a", "don't can't ''x", "A" * 5000, "ﬁ ﬂ 한글 漢字 😀", "x,.!?; (y) [z]"]
