@@ -30,7 +30,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with one doc_id are one document if repeated; null ids are kept apart from all others."""
     of = _simhash.near_duplicates(docs.select("doc_id", "text"))
     kept = materialize(of.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")), "kept")
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # One plan at every size: the rows meet by id in a sorted shuffle, never by a broadcast of all ids.
+    out = docs.join(kept.distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     repeated = not kept.groupBy("kept_id").count().filter("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id"]) if repeated else out
 
