@@ -58,9 +58,11 @@ def test_one_class_or_no_labels(spark):
 
 def test_copies_count_once():
     r = random.Random(3)
-    texts = [{f"{i}w{r.randrange(10**6)}" for _ in range(60)} for i in range(5)]
-    near = [set(list(texts[0])[:58]) | {"x"} for _ in range(50)]
-    assert len(T._distinct(texts + near)) <= 8
+    texts = [[f"{i}w{r.randrange(10**6)}" for _ in range(60)] for i in range(5)]
+    near = [[*texts[0][:57], "x"] for _ in range(50)]
+    few = [[r.choice("abcdefghij") for _ in range(60)] for _ in range(20)]  # no copies, only few words
+    assert T._distinct(texts + near) == [0, 1, 2, 3, 4]
+    assert len(T._distinct(few)) == 20 and T._distinct([[], ["a"], ["a"]]) == [1]
 
 
 def test_out_of_fold_inputs():
