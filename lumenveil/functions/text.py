@@ -79,9 +79,9 @@ def line_score(text: str, toks: str, task: str) -> str:
 
 def safe_source(path: str) -> str:
     """A path without what points outside: forward slashes, no drive or root, no empty or dot parts, nothing before '..'."""
-    p = f"replace({path}, '\\\\\\\\', '/')"
+    p = f"replace({path}, '\\\\', '/')"
     parts = f"filter(split({p}, '/', -1), x -> x NOT IN ('', '.'))"
-    last = f"coalesce(element_at(filter(split({p}, '/', -1), x -> x NOT IN ('', '.', '..')), -1), '<input>')"
+    last = f"coalesce(try_element_at(filter(split({p}, '/', -1), x -> x NOT IN ('', '.', '..')), -1), '<input>')"
     return (
         f"CASE WHEN {p} rlike '^/|^[A-Za-z]:/' OR array_contains({parts}, '..') THEN {last} "
         f"WHEN size({parts}) = 0 THEN '<input>' ELSE array_join({parts}, '/') END"

@@ -9,15 +9,18 @@ from lumenveil.operators import capsule, gate, hybrid, lexical, metrics, overlap
 from lumenveil.plans import api
 
 
-def test_fragments_keep_bounds_and_lose_nothing():
-    for text in ("", "a" * 256, "a" * 257, "é" * 300, "😀" * 200, "ab" * 1000):
-        parts = hybrid.utf8_fragments(text)
-        assert all(len(p.encode()) <= 256 for p in parts)
-        whole = parts[0]
-        for p in parts[1:]:
-            k = next(k for k in range(min(len(p), 64), -1, -1) if whole.endswith(p[:k]) and text.startswith(whole + p[k:]))
-            whole += p[k:]
-        assert whole == text
+@pytest.mark.parametrize("first", [0x21, 0x100, 0x4E00, 0x1F300])
+@pytest.mark.parametrize("n", [0, 1, 80, 257, 900])
+def test_fragments_keep_bounds_and_lose_nothing(first, n):
+    text = "".join(chr(first + i % 600) for i in range(n)).replace("\x7f", "x")
+    parts = hybrid.utf8_fragments(text)
+    assert all(len(p.encode()) <= 256 for p in parts)
+    at = 0
+    for i, p in enumerate(parts):
+        start = text.index(p, max(0, at - 64)) if i else 0
+        assert start <= at and len(text[start:at].encode()) <= 64
+        at = start + len(p)
+    assert at == len(text)
 
 
 def test_token_safe_halves():
