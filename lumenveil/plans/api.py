@@ -162,7 +162,10 @@ def rank_hybrid(work: DataFrame, task: str, embed: Embed, max_tokens: int, reser
         if diagnostic:
             sims = written(_embedded(hybrid.anchors(cands), "anchor", embed).withColumn("similarity", F.expr(hybrid.cosine("vector", q))).select("anchor", "similarity"), "anchors")
             calibration = hybrid.calibrate(sims)
-        ranked = written(hybrid.scored(_embedded(cands, "text", embed), task, query, calibration), "scored")
+        vectors = written(_embedded(cands, "text", embed), "vectors")
+        if not vectors.filter(F.expr(f"{hybrid.cosine('vector', q)} IS NULL")).limit(1).isEmpty():
+            raise InferenceUnavailable()
+        ranked = written(hybrid.scored(vectors, task, query, calibration), "scored")
     except Exception:
         raise InferenceUnavailable() from None
     facts, _, n_scored = hybrid.select(ranked, max_tokens - reserved, diagnostic, max_facts)

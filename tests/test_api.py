@@ -29,7 +29,7 @@ def test_loading(spark, project):
     corpus = load_path(spark, project)
     rows = {r["path"]: r for r in corpus.docs.collect()}
     assert corpus.inspected == 3 and corpus.skipped == 2
-    assert rows["sub/n.md"]["text"].startswith("# notes") and rows["sub/n.md"]["byte_size"] == 30
+    assert rows["sub/n.md"]["text"].startswith("# notes") and rows["sub/n.md"]["byte_size"] == 29
     with pytest.raises(errors.InputPathNotFound):
         load_path(spark, project / "none")
     for limits in (Limits(2), Limits(9, 10, 10**6), Limits(9, 100, 100)):
