@@ -73,18 +73,17 @@ class Shard:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {int(i): (np.zeros(0, self.ids.dtype), np.zeros(0)) for i in active}
         width = first
         while len(active):
+            new_low, new_high = np.empty((m, len(active)), np.int64), np.empty((m, len(active)), np.int64)
             for j in range(m):
-                row, order = self.sorted[j], self.order[j]
-                new_low = np.searchsorted(row, at[j, active] - width)
-                new_high = np.searchsorted(row, at[j, active] + width, side="right")
-                for i, a, b, c, d in zip(active.tolist(), new_low.tolist(), low[j, active].tolist(), high[j, active].tolist(), new_high.tolist()):
-                    own = counts[i]
-                    if a < b:
-                        own[order[a:b]] += 1
-                    if c < d:
-                        own[order[c:d]] += 1
-                low[j, active] = np.minimum(new_low, low[j, active])
-                high[j, active] = np.maximum(new_high, high[j, active])
+                new_low[j] = np.searchsorted(self.sorted[j], at[j, active] - width)
+                new_high[j] = np.searchsorted(self.sorted[j], at[j, active] + width, side="right")
+            # Only what the level adds: the entries left and right of the windows so far.
+            ends = np.stack([new_low, low[:, active], high[:, active], new_high]).transpose(2, 1, 0).tolist()
+            for i, own_ends in zip(active.tolist(), ends):
+                added = [order[p:q] for order, (a, b, c, d) in zip(self.order, own_ends) for p, q in ((a, b), (c, d)) if p < q]
+                if added:
+                    counts[i] += np.bincount(np.concatenate(added), minlength=n).astype(np.uint8)
+            low[:, active], high[:, active] = np.minimum(new_low, low[:, active]), np.maximum(new_high, high[:, active])
             left = []
             for i in active.tolist():
                 own = counts[i]
