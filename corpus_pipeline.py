@@ -1,7 +1,7 @@
 """Training-data pipeline over `documents`: five stages, each an operator of lumenveil.llm.
 
 toxicity: documents that the classifier chain rejects go. dedup: of each group of near copies the document with
-the smallest doc_id stays. decontaminate: documents with too many benchmark words in windows go. pii: personal
+the smallest doc_id stays, one without an id only where all lack it. decontaminate: documents with too many benchmark words in windows go. pii: personal
 data in the texts becomes [KIND]. packing: what is left becomes token pieces with their places in sequences.
 """
 
@@ -27,13 +27,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with one doc_id are one document if repeated; null ids are kept apart from all others."""
-    of = _simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = materialize(of.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")), "kept")
-    # One plan at every size: the rows meet by id in a sorted shuffle, never by a broadcast of all ids.
-    out = docs.join(kept.distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = not kept.groupBy("kept_id").count().filter("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each component: the smallest doc_id's, null ids last, then the smallest by two hashes of the whole row.
+
+    Rows are told apart by id and hashes, so texts that share an id, or have none, are decided each for itself.
+    """
+    of_row = [F.xxhash64(*docs.columns).alias("h1"), F.xxhash64(F.lit(1), *docs.columns).alias("h2")]
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), *of_row)
+    of = _simhash.near_duplicates(docs.select(key.alias("row"), "text"), "row")
+    kept = materialize(of.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.id", "doc_id.h1", "doc_id.h2"), "kept")
+    # One plan at every size: the rows meet by key in a sorted shuffle, never by a broadcast of all keys.
+    rows = docs.select("*", *(h.alias(f"_{n}") for h, n in zip(of_row, ("h1", "h2"))))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2"))
+    out = rows.join(kept.distinct().hint("merge"), same, "left_semi")
+    # Rows alike in every column are one document.
+    repeated = not kept.groupBy("id", "h1", "h2").count().filter("count > 1").isEmpty()
+    return (out.dropDuplicates(["doc_id", "_h1", "_h2"]) if repeated else out).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,15 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
         assert stage(spark, docs, SF).count() >= 1, name
 
 
+def test_texts_that_share_an_id_or_have_none_are_kept(spark):
+    texts = ["the first of several quite different texts", "weather reports speak of rain in the north", "seven bakers sold bread at the old market", "nothing of this resembles any other row"]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "b"), (5, texts[2], "a"), (5, texts[3], "a"), (6, texts[2], "a"), (None, texts[3], "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = P.dedup(spark, docs, SF).collect()
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_run(spark):
     out = P.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
