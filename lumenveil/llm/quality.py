@@ -56,7 +56,7 @@ def measures(part: str, n_parts: int, repeated: float) -> list[float]:
     same = sum(a == b for a, b in zip(words, words[1:]))
     pairs = len(set(zip(words, words[1:])))
     lines = part.split("\n")
-    letters = sum(map(str.isalpha, part[:400])) / max(1, min(400, n))
+    letters = sum(map(str.isalpha, part)) / n
     upper = sum(a != b for a, b in zip(part, low)) / n
     return [
         *(min(1.0, 6 * part.count(c) / k) for c in MARKS),

@@ -23,6 +23,12 @@ def test_passages_are_the_whole_text():
         assert max(map(len, Q.passages(text))) <= 4 * Q.PASSAGE
 
 
+def test_letters_are_counted_over_the_whole_passage():
+    good = "a" * 400
+    at = next(i for i, (a, b) in enumerate(zip(Q.measures(good + "a" * 400, 1, 0.0), Q.measures("\u3001" * 800, 1, 0.0))) if (a, b) == (1.0, 0.0))
+    assert Q.measures(good + "\u3001" * 400, 1, 0.0)[at] == 0.5
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     net = Q.Net(3)
