@@ -7,8 +7,8 @@ as when scoring.
 
 Features are the presence of lower-cased words and of their first 4, 5 and 6 letters (inflected and
 compound forms share them), hashed. Of all hashed features the models take those that the bounded sample
-of labelled rows ties to toxicity beyond chance (G-test). Copies in the sample count once, else a text that
-was copied often would turn its rare words into evidence.
+of labelled rows ties to toxicity beyond chance (G-test). Copies of one label in the sample count once, else a
+text that was copied often would turn its rare words into evidence.
 
 Defined cases: null, empty and wordless texts get the models' base rates; a sample without labels or with
 only one class gives probability 0 or the constant; repeated rows are scored row by row; an empty table gives
@@ -17,6 +17,7 @@ an empty result; extra columns are kept, those named like the results replaced.
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 import zlib
@@ -39,6 +40,8 @@ FEATURES = 256
 EVIDENCE = 24.0
 FOLDS = 5
 THRESHOLD = 0.5
+#: Jaccard similarity from which two texts of the sample are copies.
+SIMILAR = 0.8
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,27 +60,34 @@ def buckets(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in keys)
 
 
-def _distinct(texts: list[list[str]]) -> list[int]:
-    """Indices of texts that share none of four min-hashes of five-word shingles with an earlier one.
+def _distinct(texts: list[list[str]], labels: list[bool] | None = None) -> list[int]:
+    """Indices of texts with words that are no copy of an earlier kept one of their label.
 
-    A copy of similarity 0.8 is missed in 0.2^4 of cases; texts that have no shingle in common stay.
+    A copy has SIMILAR of the Jaccard similarity of five-word shingles at least, counted exactly. Two such sets share one
+    of their rarest (1 - SIMILAR) shingles, so only kept texts that do are compared.
     """
-    seen: set[tuple[int, int]] = set()
+    sets = [np.unique(np.array([zlib.crc32(" ".join(t[j : j + 5]).encode("utf-8", "surrogatepass")) for j in range(max(1, len(t) - 4))], np.uint32)) for t in texts]
+    every, often = np.unique(np.concatenate([*sets, np.zeros(0, np.uint32)]), return_counts=True)
+    holders: tuple[dict[int, list[int]], ...] = ({}, {})
     kept = []
-    for i, found in enumerate(texts):
-        if not found:
+    for i, own in enumerate(sets):
+        if not texts[i]:
             continue
-        shingles = {" ".join(found[j : j + 5]) for j in range(max(1, len(found) - 4))}
-        h = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in shingles], np.uint64)
-        low = {(j, int(((h * np.uint64(a) + np.uint64(b)) & np.uint64(0xFFFFFFFF)).min())) for j, (a, b) in enumerate(_MIXES)}
-        if not low & seen:
-            kept.append(i)
-        seen |= low
+        n, by = len(own), holders[int(labels[i]) if labels else 0]
+        order = np.lexsort((own, often[np.searchsorted(every, own)]))
+        rare = own[order[: n - math.ceil(SIMILAR * n - 1e-9) + 1]].tolist()
+        others = {k for r in rare for k in by.get(r, ()) if SIMILAR * n - 1e-9 <= len(sets[k]) <= n / SIMILAR + 1e-9}
+        if any(_similar(own, sets[k]) for k in others):
+            continue
+        kept.append(i)
+        for r in rare:
+            by.setdefault(r, []).append(i)
     return kept
 
 
-#: Multipliers and offsets of the min-hashes.
-_MIXES = ((2654435761, 1), (2246822519, 77), (3266489917, 1234567), (668265263, 987654321))
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both) - 1e-9
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 2e-5) -> np.ndarray:
@@ -118,7 +128,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[np.nd
 def _fit(rows: list[dict]) -> bytes:
     rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
     found = [sequence(r["text"]) for r in rows]
-    kept = _distinct(found)
+    kept = _distinct(found, [bool(r["toxic"]) for r in rows])
     found, toxic = [set(found[i]) for i in kept], np.array([bool(rows[i]["toxic"]) for i in kept], bool)
     count = np.zeros((2, BUCKETS), np.float32)
     for f, t in zip(found, toxic):

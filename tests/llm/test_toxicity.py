@@ -65,6 +65,24 @@ def test_copies_count_once():
     assert len(T._distinct(few)) == 20 and T._distinct([[], ["a"], ["a"]]) == [1]
 
 
+def test_only_copies_of_one_label_are_dropped():
+    r = random.Random(4)
+    line = [f"common{i}" for i in range(40)]
+    sharing = [line + [f"{i}w{r.randrange(10**6)}" for _ in range(60)] for i in range(200)]  # similarity 0.2 to 0.3
+    assert T._distinct(sharing) == list(range(200))
+    clean = [f"w{i}" for i in range(60)]
+    assert T._distinct([clean, [*clean, "idiot"], clean], [False, True, False]) == [0, 1]
+    # Against all pairs, on texts of every similarity.
+    base = [f"b{i}" for i in range(80)]
+    texts = [base[: r.randrange(40, 80)] + [f"{i}x{j}" for j in range(r.randrange(20))] for i in range(80)]
+    sets = [{" ".join(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    want: list[int] = []
+    for i, s in enumerate(sets):
+        if all(len(s & sets[k]) < 0.8 * len(s | sets[k]) for k in want):
+            want.append(i)
+    assert T._distinct(texts) == want and 1 < len(want) < 80
+
+
 def test_out_of_fold_inputs():
     r = np.random.default_rng(0)
     x = r.integers(0, 2, (400, 3)).astype(np.float32)
