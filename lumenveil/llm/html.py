@@ -41,9 +41,8 @@ SUPPORT = 0.5
 MIN_PAGES = 3
 #: Share of a host's varying text that its content element must hold, where no element is named so.
 HOLDS = 0.6
-#: A path is cut to its last so many elements, and a template to its most supported tokens.
+#: A path is cut to its last so many elements.
 DEPTH = 12
-TEMPLATE_TOKENS = 400
 
 # HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -330,8 +329,7 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for row in batch.to_pylist():
                 found = [t | {"support": c["support"], "total": c["total"], "class": i} for i, c in enumerate(row["classes"]) for t in c["tokens"]]
                 found.sort(key=lambda t: (-t["support"], t["first"], t["token"]))
-                kept = [t for t in found if t["token"][0] == "<"][:TEMPLATE_TOKENS] + [t for t in found if t["token"][0] == "="][:TEMPLATE_TOKENS]
-                made.append(json.dumps(deduce(kept, row["pages"])))
+                made.append(json.dumps(deduce(found, row["pages"])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "template"])
 
     return hosts.select("host", "pages", "classes").mapInArrow(build, "host string, template string")
@@ -341,7 +339,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text, n_chars of every page."""
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     known = materialize(templates(own), "templates")
-    joined = own.withColumn("host", host_of(F.col("url"))).join(broadcast_if_small(known, 16_384), "host", "left").select("page_id", "url", "html", "template")
+    widest = known.agg(F.max(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0
+    joined = own.withColumn("host", host_of(F.col("url"))).join(broadcast_if_small(known, widest + 64), "host", "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str | None, dict | None] = {None: None}

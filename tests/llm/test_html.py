@@ -43,6 +43,22 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} == {"Title 1\nFirst & line 1\nSecond line 1"}
 
 
+def test_templates_of_many_texts_and_tags_are_whole(spark):
+    import json
+
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    menu = "<div class=list>" + "".join(f"<span>entry {i}</span>" for i in range(450)) + "</div>"
+    page = "<body>" + menu + "<div class=text><p>{n}</p><p>Same last line</p></div>"
+    rows = [(i, "http://texts.example/p", page.replace("{n}", f"story{i} " * 1500)) for i in range(5)]
+    many = "<body>" + "".join(f"<div class=q{name(i)}>x</div>" for i in range(450)) + "<article><p>{n}</article>"
+    rows += [(10 + i, "http://tags.example/p", many.replace("{n}", f"story {i}")) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.main_text(df).collect()}
+    assert [got[i] for i in range(5)] == [" ".join([f"story{i}"] * 1500) for i in range(5)]
+    template = {r["host"]: json.loads(r["template"]) for r in H.templates(df).collect()}
+    assert template["tags.example"]["content"] == ["#>body>article"] and len(template["texts.example"]["fixed"]) == 451
+
+
 def test_odd_markup():
     assert H.extract("<article>a<b>b</b> c<br>d &am &amp", None) == "ab c d &am &"
     assert H.extract("<article>" + "<p>x" * 5000, None).count("\n") == 4999
