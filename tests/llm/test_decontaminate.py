@@ -44,3 +44,17 @@ def test_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, items[0][1] + " z " + items[5][1])], "doc_id bigint, text string")
     r = D.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).first()
     assert r["items"] == [0, 5] and r["n_hit"] == 30
+
+
+def test_blocks_equal_one_automaton(spark, monkeypatch):
+    items = [(i, " ".join(f"k{i % 4}x{j % 7}" for j in range(3 + 2 * i))) for i in range(12)] + [(90, None), (91, "")]
+    texts = [None, "", *(items[i][1] + " z " + items[11 - i][1].upper() for i in range(12)), " ".join(t or "" for _, t in items) * 20]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id bigint, text string, row string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = order(D.decontaminate(docs, bench))
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    assert order(D.decontaminate(docs, bench)) == whole
+    for i, t, _, n, hit, found, _, full in whole:
+        assert (n, hit, found) == brute(t, items)
+        assert full == bool(brute(t, [x for x in items if len(words(x[1])) >= 13])[1])
