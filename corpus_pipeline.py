@@ -1,8 +1,12 @@
 """Training-data pipeline over `documents`: five stages, each an operator of lumenveil.llm.
 
 toxicity: documents that the classifier chain rejects go. dedup: of each group of near copies the document with
-the smallest doc_id stays, one without an id only where all lack it. decontaminate: documents with too many benchmark words in windows go. pii: personal
-data in the texts becomes [KIND]. packing: what is left becomes token pieces with their places in sequences.
+the smallest doc_id stays, one without an id only where all lack it. decontaminate: documents that hold a whole window of
+a benchmark item go, however long they are, and those of whose words items shorter than a window make up too many. pii:
+personal data in the texts becomes [KIND]. packing: what is left becomes token pieces with their places in sequences.
+
+Each stage's defined cases are its operator's. Null ids and texts, repeated rows, very long texts and extra columns pass
+through every stage but the last, which replaces the columns by the pieces'. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -45,9 +49,14 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    got = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = (F.col("n_hit") > 0) & (F.col("n_hit") * _decontaminate.SHARE >= F.col("n_words"))
-    return got.filter(~bad).select(docs.columns)
+    """Without documents that hold a benchmark passage of a whole window; a share of hits is asked for only where items are shorter."""
+    names = ("n_words", "n_hit", "items", "spans", "full_window")
+    # Columns of the caller's with the results' names stay.
+    kept = {n: f"_{i}_{n}" for i, n in enumerate(docs.columns) if n in names}
+    got = _decontaminate.decontaminate(docs.withColumnsRenamed(kept), table(spark, sf_dir, "benchmark"))
+    short = (F.col("n_hit") > 0) & (F.col("n_hit") * _decontaminate.SHARE >= F.col("n_words"))
+    left = got.filter(~(F.col("full_window") | short)).drop(*names)
+    return left.withColumnsRenamed({v: k for k, v in kept.items()}).select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
