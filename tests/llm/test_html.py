@@ -1,3 +1,6 @@
+import json
+import random
+
 from lumenveil.llm import html as H
 
 PAGE = (
@@ -29,13 +32,93 @@ def test_host_without_article_elements(spark):
         assert r["text"] == f"Story {n} goes on for {n} long words and more of them\nand ends {n}"
 
 
+def deduced(pages):
+    """The host's template by comparing whole occurrence vectors."""
+    of = [H.tokens(p) for p in pages]
+    every = {t: v for got in of for t, v in got.items()}
+    vector = {t: tuple(got[t][0] if t in got else 0 for got in of) for t in every}
+    number = {v: i for i, v in enumerate(dict.fromkeys(vector.values()))}
+    found = []
+    for t, (_, up, key, main, *_) in every.items():
+        own = [got[t] for got in of if t in got]
+        if len(own) >= max(2, H.SUPPORT * len(pages)):
+            sums = {"first": sum(o[4] for o in own) / len(own), "text": sum(o[5] for o in own), "links": sum(o[6] for o in own)}
+            found.append({"token": t, "up": up, "key": key, "main": main, "support": len(own), "total": sum(vector[t]), "class": number[vector[t]]} | sums)
+    found.sort(key=lambda t: (-t["support"], t["first"], t["token"]))
+    return H.deduce(found, len(pages))
+
+
+def template_of(spark, pages):
+    rows = [(i, "https://a.example/", p) for i, p in enumerate(pages)]
+    got = H.templates(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return json.loads(got[0]["template"]) if got else None
+
+
+def even(template):
+    return {k: sorted(v) if isinstance(v, list) else {str(a): sorted(b) for a, b in v.items()} for k, v in template.items()}
+
+
+def token(*keys):
+    el = H.Element("#", "", None)
+    for k in keys:
+        name, _, mark = k.partition(".")
+        el = H.Element(name, f'class="{mark}"' if mark else "", el)
+    return el.token
+
+
 def test_template_has_frame_and_repeats(spark):
-    rows = [(i, "https://a.example/", PAGE.format(n=i).replace("<p>Second", "<p>x" * (i % 3) + "<p>Second")) for i in range(9)]
-    import json
+    pages = [PAGE.format(n=i).replace("<p>Second", "<p>x" * (i % 3) + "<p>Second") for i in range(9)]
+    t = template_of(spark, pages)
+    assert t["content"] == [token("html", "body", "article")] and token("html", "body", "nav") in t["frame"]
+    assert token("html", "body", "nav", "ul", "li") in t["repeated"][str(token("html", "body", "nav", "ul"))]
+    assert even(t) == even(deduced(pages))
+
+
+# Class names that mean nothing, no element whose name tells content from the rest.
+def nameless(i):
+    word = f"w{i}x"
+    records = "".join(f"<div class=kb><div class=kc>Reader {word}{j}</div><div class=kd>says {word} {j} of it</div></div>" for j in range(1 + i % 3))
+    return (
+        f"<html><body><div class=za><span>Site</span> <a href=/>Start</a></div><div class=zb><div class=zc><h1>Head {word}</h1><div class=q>Send this on</div>"
+        f"<p>Story {word} goes on and on with {word} for many words</p><p>Part two of {word} has some more words yet</p><p>The same last line</p>"
+        f"<div class=ka>{records}</div></div><div class=zd><div>Old tale {word}</div></div></div><div class=ze>All rights kept</div>"
+    ), f"Head {word}\nStory {word} goes on and on with {word} for many words\nPart two of {word} has some more words yet\nThe same last line"
 
-    t = json.loads(H.templates(spark.createDataFrame(rows, "page_id bigint, url string, html string")).first()["template"])
-    assert t["content"] == ["#>html>body>article"] and "#>html>body>nav" in t["frame"]
-    assert any(p.endswith(">li") for ps in t["repeated"].values() for p in ps)
+
+def test_content_without_telling_names_comes_from_the_template(spark):
+    pages = [nameless(i) for i in range(12)]
+    rows = [(i, "http://plain.example/p", p) for i, (p, _) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i, (page, text) in enumerate(pages):
+        assert got[i] == text
+        bare = H.extract(page, None)  # without the template everything comes out
+        assert "Site" in bare and "Send this on" in bare and "Reader" in bare and "All rights kept" in bare
+    t = template_of(spark, [p for p, _ in pages])
+    way = ("html", "body", "div.zb", "div.zc")
+    assert t["content"] == [token(*way)] and set(t["out"]) == {token(*way, "div.q"), token(*way, "div.ka")}
+    assert even(t) == even(deduced([p for p, _ in pages]))
+
+
+def test_what_never_changes_inside_an_article_goes_unless_pages_are_copies(spark):
+    page = "<body><article><h1>T{n}</h1><div>Follow us</div><p>Body {n} {n} {n} {n}</p></article></body>"
+    rows = [(i, "http://a.example/", page.format(n=f"n{i}")) for i in range(5)] + [(10 + i, "http://b.example/", page.format(n="n")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Tn3\nBody n3 n3 n3 n3" and got[12] == "Tn\nFollow us\nBody n n n n"
+
+
+def test_random_hosts_against_whole_vectors(spark):
+    r = random.Random(8)
+    for _ in range(4):
+        names = [r.choice(["div", "section", "ul", "p", "h2", "span", "a", "article"]) + r.choice(["", " class=a", " class=b1", " id=c"]) for _ in range(7)]
+
+        def part(depth=0):
+            if depth > 3 or r.random() < 0.3:
+                return f"text {r.randrange(4)} "
+            n = r.choice(names)
+            return f"<{n}>" + "".join(part(depth + 1) for _ in range(r.randrange(4))) + f"</{n.split()[0]}>"
+
+        pages = ["<html><body>" + "".join(part() for _ in range(6)) for _ in range(r.randrange(3, 9))]
+        assert even(template_of(spark, pages)) == even(deduced(pages))
 
 
 def test_copies_of_one_page_keep_their_text(spark):
@@ -44,8 +127,6 @@ def test_copies_of_one_page_keep_their_text(spark):
 
 
 def test_templates_of_many_texts_and_tags_are_whole(spark):
-    import json
-
     name = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
     menu = "<div class=list>" + "".join(f"<span>entry {i}</span>" for i in range(450)) + "</div>"
     page = "<body>" + menu + "<div class=text><p>{n}</p><p>Same last line</p></div>"
@@ -54,9 +135,9 @@ def test_templates_of_many_texts_and_tags_are_whole(spark):
     rows += [(10 + i, "http://tags.example/p", many.replace("{n}", f"story {i}")) for i in range(5)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r["page_id"]: r["text"] for r in H.main_text(df).collect()}
-    assert [got[i] for i in range(5)] == [" ".join([f"story{i}"] * 1500) for i in range(5)]
+    assert [got[i] for i in range(5)] == [" ".join([f"story{i}"] * 1500) + "\nSame last line" for i in range(5)]
     template = {r["host"]: json.loads(r["template"]) for r in H.templates(df).collect()}
-    assert template["tags.example"]["content"] == ["#>body>article"] and len(template["texts.example"]["fixed"]) == 451
+    assert template["tags.example"]["content"] == [token("body", "article")] and len(template["texts.example"]["fixed"]) == 451
 
 
 def test_odd_markup():
@@ -64,3 +145,14 @@ def test_odd_markup():
     assert H.extract("<article>" + "<p>x" * 5000, None).count("\n") == 4999
     assert H.extract("<" * 20000, None) is not None
     assert H.extract("a < b <!-- c", None) == "a < b"
+    assert H.extract("<article>x <math><mi>a</mi></math> <video>no film</video> &am<b>p;</b> <select><option>one</select></article>", None) == "x a no film &amp;\none"
+    deep = "<article>" + "<div><b>" * 20000 + "end"
+    assert H.extract(deep, None) == "end" and len(H.tokens(deep)) == 40003
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(i % 3, "https://a.example/", PAGE.format(n=i % 3)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' AS host", "1 AS token", "'y' AS text", "2L AS n_chars", "'z' AS template")
+    got = H.main_text(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(r["text"] for r in got.collect()) == sorted(f"Title {i}\nFirst & line {i}\nSecond line {i}" for i in (0, 0, 1, 1, 2, 2))
