@@ -81,6 +81,28 @@ def bounded_sample(labels: DataFrame, most: int, id_col: str = "doc_id") -> Data
     return labels.orderBy(F.xxhash64(id_col), id_col).limit(most)
 
 
+def labelled_features(docs: DataFrame, sample: DataFrame, encode, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, label, features) of the sampled rows' texts, encoded where they are read: encode(text or None) -> bytes.
+
+    sample: (doc_id, label), bounded. An id that several rows or labels have gives one row, that with the smallest features
+    and the larger label, so that the result has no more rows than the sample. No text leaves its task.
+    """
+    import pyarrow as pa
+
+    ids = sample.select(F.col("doc_id").alias("_doc_id"), F.col("label").cast("int").alias("_label")).groupBy("_doc_id").agg(F.max("_label").alias("_label"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            made = [encode(cell.as_py()) for cell in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "label", "features"])
+
+    met = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_doc_id")).select("doc_id", F.col("_label").alias("label"), "text")
+    rows = met.mapInArrow(run, f"doc_id {id_type}, label int, features binary")
+    return rows.groupBy("doc_id", "label").agg(F.min("features").alias("features"))
+
+
 def fit_in_one_task(sample: DataFrame, fit) -> bytes:
     """fit(rows as a list of dicts) -> bytes, run in one executor task. The sample must be bounded."""
     import pyarrow as pa

@@ -1,15 +1,19 @@
 """Quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of about PASSAGE characters that together are the whole text. Every passage
-is encoded: surface measures, then a tanh layer. Gated attention (a tanh and a sigmoid branch, multiplied)
-weighs the passages, and a logistic layer scores the weighted representation. Only document labels are
-known; the attention weights and the encoder are learned from them by gradient descent.
+is encoded: surface measures (make-up of characters and words, repetition) and a hashed bag of its words and of
+their first letters, over which a tanh layer learns its own representation. Gated attention (a tanh and a sigmoid
+branch, multiplied) weighs the passages, and a logistic layer scores the weighted representation. Only document
+labels are known; the attention weights and the encoder are learned from them by gradient descent.
 
 Labels, language, source and id are no inputs of a score. Rows whose crc32(doc_id as text) mod 3 is 1 are
-held out and never used in training, which takes a bounded sample of the other labelled rows.
+held out and never used in training, which takes a bounded sample of the other labelled rows. Their passages are
+encoded in parallel; the one task that trains gets numbers of a bounded size, whatever the texts' length: of a bag with
+more than TRAIN_PASSAGES passages it gets sums of runs of neighbours. Scoring takes every passage as it is.
 
-Defined cases: null and empty texts are one empty passage and are scored; without any usable
-label every score is 0.5; repeated rows are scored row by row; an empty table gives an empty
+Defined cases: null and empty texts are one empty passage and are scored; very long texts are more passages;
+without any usable label every score is 0.5; equal scores stay equal, 0.5 predicts 1; repeated rows are scored row
+by row, and of rows that share a labelled id one is learned from; an empty table gives an empty
 result; extra columns are kept, those named like the results replaced.
 """
 
@@ -17,20 +21,26 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import add_columns, bounded_sample, fit_in_one_task
+from ._common import add_columns, bounded_sample, fit_in_one_task, labelled_features
 
 #: Labelled rows that training takes at most.
 SAMPLE = 9_000
 PASSAGE = 800
+#: Passages of one document that training takes apart; of longer ones neighbours are averaged.
+TRAIN_PASSAGES = 32
+#: Hashed features of a passage's words and their beginnings.
+LEXICAL = 256
 HIDDEN, GATE = 24, 12
 EPOCHS = 30
 MARKS = "!*$&%#|.,"
 _SPLIT = re.compile(r"\s+")
+_TWICE = re.compile(r"([^\w\s])\1")
 
 
 def passages(text: str | None) -> list[str]:
@@ -60,7 +70,7 @@ def measures(part: str, n_parts: int, repeated: float) -> list[float]:
     upper = sum(a != b for a, b in zip(part, low)) / n
     return [
         *(min(1.0, 6 * part.count(c) / k) for c in MARKS),
-        min(1.0, part.count("$$$") + part.count("###") + part.count("%%%") + part.count("&&&") + part.count("***")),
+        min(1.0, 6 * len(_TWICE.findall(part)) / k),
         upper,
         letters,
         sum(map(part.count, "0123456789")) / n,
@@ -74,19 +84,46 @@ def measures(part: str, n_parts: int, repeated: float) -> list[float]:
         np.log1p(k) / 5,
         np.log1p(n_parts) / 5,
         1.0 if not words else 0.0,
-        float("http" in low or "license" in low or "copyright" in low),
     ]
 
 
+class Words(dict):
+    """word -> its hashed features; a bounded memory of what was computed."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) > 200_000:
+            self.clear()
+        low = word.lower().strip(".,;:!?()\"'")
+        self[word] = got = tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) % LEXICAL for k in (low, "^" + low[:3]))
+        return got
+
+
+_WORDS = Words()
+
+
+def lexical(part: str) -> np.ndarray:
+    """Shares of a passage's hashed words and word beginnings, as square roots: frequent words weigh less."""
+    found = [f for w in part.split() for f in _WORDS[w]]
+    return np.sqrt(np.bincount(np.array(found, np.int64), minlength=LEXICAL) / max(1, len(found))).astype(np.float32)
+
+
 def encode(text: str | None) -> np.ndarray:
-    """Measures of every passage of the whole text."""
+    """Measures and hashed words of every passage of the whole text."""
     parts = passages(text)
     lines = [x for x in (text or "").split("\n") if x.strip()]
     repeated = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    return np.array([measures(p, len(parts), repeated) for p in parts], np.float32)
+    return np.hstack([np.array([measures(p, len(parts), repeated) for p in parts], np.float32), np.array([lexical(p) for p in parts])])
+
+
+N_MEASURES = len(measures("", 1, 0.0)) + LEXICAL
 
 
-N_MEASURES = len(measures("", 1, 0.0))
+def condensed(bag: np.ndarray, most: int = TRAIN_PASSAGES) -> np.ndarray:
+    """At most `most` rows: means of runs of neighbours, so that every passage counts."""
+    if len(bag) <= most:
+        return bag
+    cuts = np.arange(most) * len(bag) // most
+    return (np.add.reduceat(bag, cuts) / np.diff(np.append(cuts, len(bag)))[:, None]).astype(np.float32)
 
 
 class Net:
@@ -157,11 +194,11 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Net:
 
 
 def _fit(rows: list[dict]) -> bytes:
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
-    y = np.array([float(r["quality"]) for r in rows], np.float32)
-    if not len(rows):
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["features"]))
+    if not rows:
         return pickle.dumps(None)
-    return pickle.dumps(train([encode(r["text"]) for r in rows], y))
+    y = np.array([float(r["label"]) for r in rows], np.float32)
+    return pickle.dumps(train([np.frombuffer(r["features"], "<f2").astype(np.float32).reshape(-1, N_MEASURES) for r in rows], y))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -171,9 +208,9 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes:
     """The network, trained on at most SAMPLE labelled rows that aren't held out."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sample = F.broadcast(bounded_sample(usable.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("quality")), SAMPLE))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return fit_in_one_task(texts.join(sample, "doc_id"), _fit)
+    sample = F.broadcast(bounded_sample(usable.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("label")), SAMPLE))
+    encoded = labelled_features(docs, sample, lambda text: condensed(encode(text)).astype("<f2").tobytes(), id_col, text_col)
+    return fit_in_one_task(encoded, _fit)
 
 
 def score(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:

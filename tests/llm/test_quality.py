@@ -49,6 +49,47 @@ def test_gradients():
         assert abs((up - down) / 2e-6 - g[i]) < 1e-4, k
 
 
+def test_scores_equal_a_forward_pass_by_hand(spark):
+    """Every number computed by plain loops from the model's weights."""
+    import math
+    import pickle
+
+    texts = [None, "", "one two three. " * 300, "!!! $$$ ### " * 200, "Ein Satz.\nEin Satz.\nNoch einer", "x" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = Q.fit(df, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id bigint, quality int"))
+    net = pickle.loads(model)
+    for r in Q.score(df, model).collect():
+        hidden, weight = [], []
+        for row in Q.encode(r["text"]):
+            x = [min(8.0, max(-8.0, (float(v) - float(m)) / float(s))) for v, m, s in zip(row, net.mean, net.std)]
+            h = [math.tanh(sum(a * float(net.We[i, j]) for i, a in enumerate(x)) + float(net.be[j])) for j in range(Q.HIDDEN)]
+            t = [math.tanh(sum(h[i] * float(net.V[i, j]) for i in range(Q.HIDDEN))) for j in range(Q.GATE)]
+            g = [1 / (1 + math.exp(-sum(h[i] * float(net.U[i, j]) for i in range(Q.HIDDEN)))) for j in range(Q.GATE)]
+            hidden.append(h)
+            weight.append(math.exp(sum(a * b * float(w) for a, b, w in zip(t, g, net.wa))))
+        z = [sum(w * h[j] for w, h in zip(weight, hidden)) / sum(weight) for j in range(Q.HIDDEN)]
+        p = 1 / (1 + math.exp(-(sum(a * float(w) for a, w in zip(z, net.wc)) + float(net.bc[0]))))
+        assert abs(p - r["score"]) < 1e-4
+
+
+def test_every_word_counts():
+    a, b = Q.lexical("alpha beta gamma"), Q.lexical("alpha beta delta")
+    assert abs(float((a * a).sum()) - 1) < 1e-6 and not np.array_equal(a, b)
+    long = "word " * 5000
+    assert not np.array_equal(Q.encode(long), Q.encode(long + "other")) and len(Q.condensed(Q.encode(long))) <= Q.TRAIN_PASSAGES
+    bag = np.arange(400, dtype=np.float32).reshape(100, 4)
+    assert np.allclose(Q.condensed(bag, 10), bag.reshape(10, 10, 4).mean(1))
+
+
+def test_repeated_labelled_ids_are_learned_from_once(spark):
+    df = spark.createDataFrame([(i % 4, f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i % 4, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    from lumenveil.llm._common import labelled_features
+
+    got = labelled_features(df, labels.withColumnRenamed("quality", "label"), lambda t: t.encode()).collect()
+    assert len(got) == 4
+
+
 def test_one_bad_passage_gets_the_attention():
     good = np.zeros((6, Q.N_MEASURES), np.float32)
     bad = good.copy()
