@@ -6,13 +6,17 @@ solver returns patterns (lengths that fill one sequence) with how often each is
 their place from their number among the pieces of their length.
 
 Solver: branch and bound over bin completions. A branch takes the largest length left and completes its
-sequence with an undominated filling; fillings with less waste come first. A branch is cut once the
-waste so far exceeds what the incumbent could still be beaten with. The incumbent starts as the
-best-fit-decreasing solution; the search ends when the incumbent meets the lower bound, or after NODES
-nodes, and then the incumbent stands.
-
-Defined cases: null and empty texts are one piece, the end mark alone; repeated rows are packed
-each for itself; an empty table gives an empty result; extra columns are ignored.
+sequence with an undominated filling, for as many sequences at once as there are pieces; fillings with less waste come
+first, and all that the waste bound leaves are enumerated, by a walk over the sums that the lengths left can reach. A
+branch is cut once its waste exceeds what a packing with one sequence less than the incumbent may have. Best-fit
+decreasing gives the first incumbent; wherever a branch ends, best fit packs what is left, and the packing becomes the incumbent
+if it is better. The search starts anew with growing numbers of nodes; lengths that were left over come first then.
+It ends when the incumbent meets the lower bound or nothing is left to try; otherwise after WORK,
+with the incumbent: bin packing is NP-hard, so no bound on work can promise the optimum.
+
+Defined cases: null and empty texts are one piece, the end mark alone; very long texts are cut into pieces, their ids in
+one pass; pieces of equal length are exchangeable and stand in the order of doc_id and piece, those of repeated rows in any;
+repeated rows are packed each for itself; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,56 +38,76 @@ from ._common import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Fillings that a node looks at, and nodes of the branch and bound.
-FILLINGS = 400
-NODES = 20_000
-#: Rows of one length that are numbered in one task, about.
-SALT_ROWS = 50_000
+#: Work of the branch and bound at most: for each node 50 and one for each length left.
+WORK = 1_500_000
+#: Fillings that are put in order at a time.
+CHOICES = 256
 
 
 # ---------------------------------------------------------------- solver
 
 
-def fillings(lengths: list[int], count: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, each descending, least waste first.
+def fillings(lengths: list[int], count: dict[int, int], room: int, waste: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+    """(((length, copies), ...), its waste) of every undominated filling that leaves at most `waste` of the room, larger lengths first.
 
-    lengths: ascending, with count > 0. A filling is dominated if an unused length would still fit, or if
-    a larger unused length could take a used one's place; both waste room for nothing.
+    lengths: ascending, with count > 0. A filling is dominated if an unused length would still fit, or if a longer
+    unused length could take the place of one used or of two. Nothing is walked that leads to no filling: a set of bits
+    says which sums the smaller lengths can reach.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-    used: dict[int, int] = {}
-
-    def grow(chosen: list[int], left: int, limit: int) -> bool:
-        nonlocal steps
-        i = bisect_right(lengths, min(left, limit)) - 1
-        tried = 0
-        while i >= 0:
-            x = lengths[i]
-            if used.get(x, 0) < count[x]:
-                steps += 1
-                used[x] = used.get(x, 0) + 1
-                chosen.append(x)
-                done = grow(chosen, left - x, x)
-                chosen.pop()
-                used[x] -= 1
-                tried += 1
-                if done or steps > most:
-                    return True
-            i -= 1
-        if not tried:  # nothing more fits
-            waste = left
-            if not any(waste + x in count and used.get(waste + x, 0) < count[waste + x] for x in set(chosen)):
-                found.append((waste, tuple(chosen)))
-            elif not found:
-                found.append((waste, tuple(chosen)))
-            if waste == 0:
-                return True
+    usable = lengths[: bisect_right(lengths, room)]
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for x in usable:
+        sums, k, part = reach[-1], min(count[x], room // x), 1
+        while k > 0:
+            sums |= (sums << (min(part, k) * x)) & mask
+            k, part = k - part, 2 * part
+        reach.append(sums)
+
+    def leads(i: int, left: int) -> bool:
+        low = max(0, left - waste)
+        return bool((reach[i] >> low) & ((1 << (left - low + 1)) - 1))
+
+    i, left = len(usable), room
+    chosen: list[tuple[int, int, int]] = []  # (i, room left before, copies)
+    copies: int | None = None  # None: not tried yet
+    while leads(len(usable), room):
+        while i > 0:
+            if copies is None:
+                i = bisect_right(usable, left, 0, i)
+                if not i:
+                    break
+            x = usable[i - 1]
+            copies = min(count[x], left // x) if copies is None else copies - 1
+            while copies >= 0 and not leads(i - 1, left - copies * x):
+                copies -= 1
+            if copies < 0:
+                break
+            if copies:
+                chosen.append((i, left, copies))
+                left -= copies * x
+            i, copies = i - 1, None
+        if i == 0:
+            found = tuple((usable[k - 1], n) for k, _, n in chosen)
+            if left <= waste and _undominated(lengths, count, found, left):
+                yield found, left
+        if not chosen:
+            return
+        i, left, copies = chosen.pop()
+
+
+def _undominated(lengths: list[int], count: dict[int, int], filling: tuple[tuple[int, int], ...], waste: int) -> bool:
+    used = dict(filling)
+    spare = lambda low, high: any(count[y] > used.get(y, 0) for y in lengths[bisect_right(lengths, low - 1) : bisect_right(lengths, high)])
+    if waste and spare(1, waste):
         return False
-
-    grow([], room, room)
-    found.sort(key=lambda f: (f[0], tuple(-x for x in f[1])))
-    return [f for _, f in found] or [()]
+    parts = [x for x, n in filling for _ in range(min(n, 2))]
+    for i, x in enumerate(parts):
+        if waste and spare(x + 1, x + waste):
+            return False
+        if any(spare(x + y, x + y + waste) for y in parts[:i]):
+            return False
+    return True
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -149,69 +174,95 @@ def pack(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int
     if min(hist) < 1 or max(hist) > capacity:
         raise ValueError("every length must lie between 1 and the capacity")
     incumbent = best_fit(hist, capacity)
-    least = bound(hist, capacity)
-    n_best = sum(n for _, n in incumbent)
-    total = sum(x * n for x, n in hist.items())
-    nodes = 0
-    # Depth first without recursion: a frame holds what is left, the fillings still to try, the choices so far.
-    count, lengths = dict(hist), sorted(hist)
-    path: list[tuple[int, tuple[int, ...], int, int]] = []  # largest, filling, times, waste
-    stack: list[Iterator[tuple[int, ...]]] = []
-    opened, wasted = 0, 0
+    least, n_best = bound(hist, capacity), sum(n for _, n in incumbent)
+    work, limit, weight = WORK, WORK // 60, {}
+    while n_best > least and work > 0:
+        spent, found, left, over = _branch_and_bound(hist, capacity, least, n_best, min(limit, work), weight)
+        work -= spent
+        if found is not None:
+            incumbent, n_best = found, sum(n for _, n in found)
+        if over:
+            break
+        # Lengths that found no place come earlier in the next search.
+        for x, n in left.items():
+            weight[x] = weight.get(x, 0) + n
+        limit += limit // 8
+    return incumbent
 
-    def take(content: tuple[int, ...], times: int) -> None:
-        for x in content:
-            count[x] -= times
-            if not count[x]:
-                del count[x]
-                lengths.pop(bisect_right(lengths, x) - 1)
 
-    def back(content: tuple[int, ...], times: int) -> None:
-        for x in content:
+def _branch_and_bound(hist: dict[int, int], capacity: int, least: int, n_best: int, work: int, weight: dict[int, int]):
+    """(work done, a packing with fewer than n_best sequences or None, what was left at the deepest end, whether nothing is left to try)."""
+    total = sum(x * n for x, n in hist.items())
+    count, lengths = dict(hist), sorted(hist)
+    best, left_over, deepest = None, {}, -1
+    # Depth first without recursion: of each level its choices, (content, times, waste of one), the one in force is the path's.
+    path: list[tuple[tuple[tuple[int, int], ...], int, int]] = []
+    stack: list[Iterator] = []
+    opened = wasted = spent = 0
+    fresh = False
+
+    def move(content: tuple[tuple[int, int], ...], times: int) -> None:
+        for x, n in content:
             if x not in count:
                 count[x] = 0
                 lengths.insert(bisect_right(lengths, x), x)
-            count[x] += times
+            count[x] -= n * times
+            if not count[x]:
+                del count[x]
+                lengths.pop(bisect_right(lengths, x) - 1)
 
-    def branch() -> Iterator[tuple[int, ...]]:
+    def choices() -> Iterator[tuple[tuple[tuple[int, int], ...], int, int]]:
+        """All undominated ways to fill the largest length's sequence, and for how many sequences, within the waste bound."""
         top = lengths[-1]
-        take((top,), 1)
-        options = fillings(lengths, count, capacity - top)
-        back((top,), 1)
-        return iter(options)
-
-    while n_best > least and nodes < NODES:
+        slack = (n_best - 1) * capacity - total - wasted
+        move(((top, 1),), 1)
+        own, left = list(lengths), dict(count)
+        move(((top, 1),), -1)
+        # Sequences that are full to the last unit first; each next round doubles the waste that it takes.
+        low = 0
+        while low <= min(slack, capacity - top):
+            ways = (f for f in fillings(own, left, capacity - top, min(2 * low, slack)) if f[1] >= low)
+            while some := list(islice(ways, CHOICES)):
+                some.sort(key=lambda f: (f[1], -sum(weight.get(x, 0) * n for x, n in f[0])))
+                for filling, waste in some:
+                    need = {top: 1}
+                    for x, n in filling:
+                        need[x] = need.get(x, 0) + n
+                    content = tuple(need.items())
+                    most = min(count[x] // n for x, n in content)
+                    for times in range(min(most, max(1, slack // waste)) if waste else most, 0, -1):
+                        yield content, times, waste
+            low = 2 * low + 1
+
+    while spent < work and n_best > least:
         if len(stack) == len(path):
-            if not lengths:
-                if opened < n_best:
-                    incumbent, n_best = [((t, *f), k) for t, f, k, _ in path], opened
-                stack.append(iter(()))
-            # Waste that a packing with one sequence less than the incumbent may have.
-            elif wasted > (n_best - 1) * capacity - total:
-                stack.append(iter(()))
+            if wasted <= (n_best - 1) * capacity - total and lengths:
+                spent += 50 + len(lengths)
+                stack.append(choices())
             else:
-                nodes += 1
-                stack.append(branch())
-        option = next(stack[-1], None)
-        if option is None:
+                stack.append(iter(()))
+            fresh = True
+        step = next(stack[-1], None)
+        if step is None and fresh and (len(path) > deepest or not lengths):
+            # A branch ends here: best fit takes what is left.
+            deepest, left_over = len(path), dict(count)
+            rest = best_fit(left_over, capacity) if lengths else []
+            if opened + sum(n for _, n in rest) < n_best:
+                best = [(tuple(x for x, n in sorted(c, reverse=True) for _ in range(n)), t) for c, t, _ in path] + rest
+                n_best = opened + sum(n for _, n in rest)
+        fresh = False
+        if step is None:
             stack.pop()
             if not path:
-                break
-            top, option, times, waste = path.pop()
-            back((top, *option), times)
+                return spent, best, left_over, True
+            content, times, waste = path.pop()
+            move(content, -times)
             opened, wasted = opened - times, wasted - times * waste
-            continue
-        top = lengths[-1]
-        content = (top, *option)
-        need: dict[int, int] = {}
-        for x in content:
-            need[x] = need.get(x, 0) + 1
-        times = min(count[x] // k for x, k in need.items())
-        waste = capacity - sum(content)
-        take(content, times)
-        path.append((top, option, times, waste))
-        opened, wasted = opened + times, wasted + times * waste
-    return incumbent
+        else:
+            move(step[0], step[1])
+            path.append(step)
+            opened, wasted = opened + step[1], wasted + step[1] * step[2]
+    return spent, best, left_over, n_best <= least
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
@@ -359,15 +410,12 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     hist = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(places(pack(hist, capacity)))
 
-    # A piece's number among those of its length. A length that many pieces share is numbered in several tasks.
-    salts = max(1, sum(hist.values()) // SALT_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    if salts > 1:
-        sizes = salted.groupBy("length", "salt").count()
-        before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        salted = salted.join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"])
-    else:
-        salted = salted.withColumn("before", F.lit(0).cast("bigint"))
+    # A piece's number among those of its length: a length of n pieces is numbered in about sqrt(n) groups of sqrt(n).
+    salts = spark.createDataFrame([(int(x), max(1, round(n**0.5))) for x, n in hist.items()], "length bigint, salts int")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")).cast("int")).drop("salts")
+    sizes = salted.groupBy("length", "salt").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    salted = salted.join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"])
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     numbered = salted.withColumn("number", F.row_number().over(order) - 1 + F.col("before")).drop("salt", "before")
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -94,8 +95,57 @@ def test_round_trip(spark):
     assert P.best_fit_packing(df.limit(0), FILE).count() == 0
 
 
-def test_salted_numbers(spark, monkeypatch):
-    monkeypatch.setattr(P, "SALT_ROWS", 10)
-    df = spark.createDataFrame([(i, "same text here") for i in range(100)], "doc_id bigint, text string")
+def test_salted_numbers(spark):
+    df = spark.createDataFrame([(i, "same text here") for i in range(3000)], "doc_id bigint, text string")
     got = P.best_fit_packing(df, FILE).collect()
-    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 100
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 3000
+
+
+def triplets(n, seed):
+    """Lengths of n sequences of 1000, three pieces each, with nothing to spare."""
+    r = random.Random(seed)
+    hist = {}
+    for _ in range(n):
+        a = r.randint(380, 490)
+        b = r.randint((1000 - a) // 2, min(490, 750 - a))
+        for x in (a, b, 1000 - a - b):
+            hist[x] = hist.get(x, 0) + 1
+    return hist
+
+
+@pytest.mark.parametrize("n, seed, most", [(20, 0, 20), (20, 1, 21), (40, 0, 40), (83, 1, 84)])
+def test_search_beats_best_fit_where_nothing_may_be_wasted(n, seed, most):
+    hist = triplets(n, seed)
+    patterns = P.pack(hist, 1000)
+    assert sum(k for _, k in patterns) <= most < sum(k for _, k in P.best_fit(hist, 1000))
+    packed = {}
+    for content, k in patterns:
+        assert sum(content) <= 1000
+        for x in content:
+            packed[x] = packed.get(x, 0) + k
+    assert packed == hist
+
+
+def test_many_equal_pieces_need_no_recursion():
+    assert sum(n for _, n in P.pack({3: 5592405})) == 4097  # 1365 pieces in each
+    assert sum(n for _, n in P.pack({1: 10**7, 2: 10**7, 4000: 3})) == P.bound({1: 10**7, 2: 10**7, 4000: 3}, 4096)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_are_all_undominated_ones(seed):
+    """Against trying every subset; dominated: an unused length fits in place of none, one or two of the used."""
+    r = random.Random(seed)
+    hist = {r.randint(2, 20): r.randint(1, 3) for _ in range(6)}
+    room, waste = r.randint(10, 40), r.randint(0, 4)
+    keys = sorted(hist, reverse=True)
+    want = set()
+    for copies in itertools.product(*[range(hist[k] + 1) for k in keys]):
+        left = room - sum(c * k for c, k in zip(copies, keys))
+        if not 0 <= left <= waste:
+            continue
+        spare = [k for k, c in zip(keys, copies) if c < hist[k]]
+        parts = [k for k, c in zip(keys, copies) for _ in range(c)]
+        pairs = [a + b for a, b in itertools.combinations(parts, 2)]
+        if not any(y <= left or any(a < y <= a + left for a in parts) or any(ab <= y <= ab + left for ab in pairs) for y in spare):
+            want.add(tuple((k, c) for k, c in zip(keys, copies) if c))
+    assert {f for f, _ in P.fillings(sorted(hist), hist, room, waste)} == want
