@@ -10,12 +10,14 @@
 4. A logistic span classifier on shape and context features is fitted to those probabilities, again on counts
    of feature patterns, and decides which candidates join the base spans. Base spans always stay.
 
-The patterns can't take quadratic time: a run of characters is entered only at its start or where the match
-before ended, and repeated groups are possessive.
-
-Defined cases: null and empty texts have no spans; repeated rows are handled row by row; an empty table
-fits the prior and returns no rows; columns named like the working ones are replaced, others kept.
-Offsets count code points, end exclusive.
+Very long texts don't take quadratic time: a run of characters is entered only at its start or where the match
+before ended, repeated groups are possessive, offsets are running sums by doubling steps, overlaps
+are found by running maxima over sorted spans, and the text around spans is read from a text cut into blocks.
+
+Defined cases: null and empty texts have no spans; of wider candidates that overlap the earlier kind of PATTERNS stays; very long
+texts are searched whole; repeated rows are handled row by row; an empty table
+fits the prior and returns no rows; all columns of the caller's are kept, whatever their names, but for _base and _cand, which
+are replaced. Offsets count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 BASE = ("email", "ip", "card", "phone")
 #: kind -> Java pattern. Runs are entered at their start or at the end of the match before (\G).
 PATTERNS = {
@@ -51,16 +55,48 @@ def _lit(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_SPAN = "array<struct<start:int,end:int,m:string>>"
+
+
+def running(array: str, size: str, step: str) -> str:
+    """Running values of an array of numbers by log2(size) doubling steps. step: of x and the value p so far before it."""
+    shift = "cast(shiftleft(1, r) AS int)"
+    once = f"transform(s, (x, i) -> if(i < {shift}, x, {step.replace('p', f'get(s, i - {shift})')}))"
+    return f"if({size} < 2, {array}, aggregate(sequence(0, cast(ceil(log2({size})) AS int) - 1), {array}, (s, r) -> {once}))"
+
+
 def _spans(kind: str) -> str:
     """array<struct<start, end, m>> of the pattern's matches in column _t."""
     p = _lit(PATTERNS[kind])
-    fold = f"""aggregate(zip_with(split(_t, {p}, -1), regexp_extract_all(_t, {p}, 0), (a, m) -> struct(length(a) AS gap, m AS m)),
-      struct(0 AS pos, cast(array() AS array<struct<start:int,end:int,m:string>>) AS got),
-      (s, x) -> struct(s.pos + x.gap + coalesce(length(x.m), 0) AS pos,
-        if(x.m IS NULL, s.got, array_append(s.got, struct(s.pos + x.gap AS start, s.pos + x.gap + length(x.m) AS end, x.m AS m))) AS got),
-      s -> s.got)"""
+    # Ends of the matches, from the parts between them; each part is as long as a match and the gap before it.
+    with_gaps = f"zip_with(slice(split(_t, {p}, -1), 1, size(_m)), _m, (a, m) -> length(a) + length(m))".replace("_m", "g.m")
+    ends = running("g.w", "size(g.w)", "x + p")
+    made = (
+        f"transform(array(struct(regexp_extract_all(_t, {p}, 0) AS m)), g -> if(size(g.m) = 0, cast(array() AS {_SPAN}), "
+        f"transform(array(struct(g.m AS m, {with_gaps} AS w)), g -> zip_with({ends}, g.m, (e, m) -> struct(e - length(m) AS start, e AS end, m AS m)))[0]))[0]"
+    )
     has = f"contains(_t, '{NEEDS[kind]}')" if kind in NEEDS else "_digit"
-    return f"if({has}, {fold}, cast(array() AS array<struct<start:int,end:int,m:string>>))"
+    return f"if({has}, {made}, cast(array() AS {_SPAN}))"
+
+
+def _apart(spans: str, others: str) -> str:
+    """The spans (ascending by start) that overlap none of the others, in time n log n.
+
+    All are sorted by start; a span overlaps another if one that starts no later ends behind its start, or
+    the next one starts before its end.
+    """
+    both = (
+        f"array_sort(concat(transform({spans}, x -> struct(x.start AS start, 1 AS own, x.end AS end, x AS x)), "
+        f"transform({others}, x -> struct(x.start AS start, 0 AS own, x.end AS end, cast(NULL AS struct<start:int,end:int,m:string>) AS x))))"
+    )
+    reach = running("transform(g, x -> if(x.own = 0, x.end, -1))", "size(g)", "greatest(x, p)")
+    # The next start is running too, from the back.
+    nexts = f"reverse({running('transform(reverse(g), x -> if(x.own = 0, x.start, 2147483647))', 'size(g)', 'least(x, p)')})"
+    kept = f"filter(transform(g, (x, i) -> if(x.own = 1 AND h.a[i] <= x.start AND h.b[i] >= x.end, x.x, NULL)), x -> x IS NOT NULL)"
+    return (
+        f"if(size({spans}) = 0 OR size({others}) = 0, {spans}, "
+        f"transform(array({both}), g -> transform(array(struct({reach} AS a, {nexts} AS b)), h -> {kept})[0])[0])"
+    )
 
 
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
@@ -119,39 +155,62 @@ FEATURES = {
 }
 
 
+#: Code points of a block.
+BLOCK = 1024
+
+
+def blocks_of(text: str) -> str:
+    """A text cut into blocks of BLOCK code points, in linear time."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
+
+
+def cut_at(blocks: str, start: str, length: str) -> str:
+    """substring(text, start + 1, length) from the text's blocks; length at most BLOCK."""
+    at = f"cast(({start}) DIV {BLOCK} AS int)"
+    return f"substring(concat(coalesce(get({blocks}, {at}), ''), coalesce(get({blocks}, {at} + 1), '')), ({start}) - {at} * {BLOCK} + 1, {length})"
+
+
+def around(base: str) -> str:
+    """A span x with up to 30 characters to its left and 2 to its right."""
+    left, right = cut_at("_blocks", "greatest(x.start - 30, 0)", "least(30, x.start)"), cut_at("_blocks", "x.end", "2")
+    return f"struct({base} AS base, x.kind AS kind, x.start AS start, x.end AS end, x.m AS m, {left} AS l, {right} AS r)"
+
+
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs plus _base (array of kind, start, end) and _cand (array of base, kind, start, end, votes, features).
 
     Every text is searched whole.
     """
-    # Stages of their own, so that the folds read columns and aren't repeated.
-    df = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    given = [c for c in docs.columns if c not in ("_base", "_cand")]
+    # The caller's columns travel in one struct, so that no name of theirs meets the working columns'.
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("_given"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_t"))
+    # Stages of their own, so that the expressions read columns and aren't repeated.
     df = df.withColumn("_digit", F.expr("_t rlike '[0-9]'"))
     for kind in PATTERNS:
         df = df.withColumn(f"_{kind}", F.expr(f"filter({_spans(kind)}, x -> {KEEP[kind]})"))
     named = lambda kind: f"transform(_{kind}, x -> struct('{kind}' AS kind, x.start AS start, x.end AS end, x.m AS m))"
     df = df.withColumn("_base", F.expr(f"concat({', '.join(named(k) for k in BASE)})"))
     extra = [k for k in PATTERNS if k not in BASE]
-    df = df.withColumn("_extra", F.expr(f"filter(concat({', '.join(named(k) for k in extra)}), x -> NOT exists(_base, b -> b.start < x.end AND x.start < b.end))"))
-    # Of extra spans that overlap, the earlier kind stays.
-    order = "array_position(array(" + ", ".join(f"'{k}'" for k in extra) + "), {}.kind)"
-    df = df.withColumn("_extra", F.expr(f"filter(_extra, x -> NOT exists(_extra, b -> b.start < x.end AND x.start < b.end AND {order.format('b')} < {order.format('x')}))"))
-    around = (
-        "struct({base} AS base, x.kind AS kind, x.start AS start, x.end AS end, x.m AS m, "
-        "substring(_t, greatest(x.start - 30, 0) + 1, least(30, x.start)) AS l, substring(_t, x.end + 1, 2) AS r)"
-    )
-    df = df.withColumn("_around", F.expr(f"concat(transform(_base, x -> {around.format(base='true')}), transform(_extra, x -> {around.format(base='false')}))"))
+    # A wider span overlaps no base span, and none of an earlier kind that doesn't either.
+    for i, kind in enumerate(extra):
+        df = df.withColumn(f"_{kind}", F.expr(_apart(f"_{kind}", "_base")))
+        df = df.withColumn(f"_free_{kind}", F.expr(_apart(f"_{kind}", "concat(" + ", ".join(f"_{k}" for k in extra[:i]) + ")")) if i else F.col(f"_{kind}"))
+    df = df.withColumn("_extra", F.expr(f"concat({', '.join(named(k).replace('_' + k + ',', '_free_' + k + ',', 1) for k in extra)})"))
+    # Code points are found by walking a text, so long ones are cut into blocks of which a span's surroundings touch two at most.
+    df = df.withColumn("_blocks", F.expr(f"if(size(_base) + size(_extra) = 0, cast(array() AS array<string>), {blocks_of('_t')})"))
+    df = df.withColumn("_around", F.expr(f"concat(transform(_base, x -> {around('true')}), transform(_extra, x -> {around('false')}))"))
     votes = ", ".join(f"cast({v} AS int)" for v in LABELERS.values())
     features = ", ".join(f"cast({v} AS int)" for v in FEATURES.values())
     df = df.withColumn("_cand", F.expr(f"transform(_around, c -> struct(c.base AS base, c.kind AS kind, c.start AS start, c.end AS end, array({votes}) AS votes, array({features}) AS features))"))
     df = df.withColumn("_base", F.expr("transform(_base, x -> struct(x.kind AS kind, x.start AS start, x.end AS end))"))
-    return df.drop("_t", "_digit", "_extra", "_around", *(f"_{k}" for k in PATTERNS))
+    return df.select(*[F.col("_given")[c].alias(c) for c in given], "_base", "_cand")
 
 
 def fit(cands: DataFrame) -> dict[str, list[float]]:
     """Reliabilities by expectation-maximisation, then the classifier's weights; both over counts of patterns."""
     n_lab, n_feat = len(LABELERS), len(FEATURES)
-    counts = cands.select(F.explode("_cand").alias("c")).groupBy("c.votes", "c.features").agg(F.count("*").cast("double").alias("n"))
+    # explode would have the optimizer push a test of the whole expression of _cand below it.
+    counts = cands.select(F.explode_outer("_cand").alias("c")).filter("c IS NOT NULL").groupBy("c.votes", "c.features").agg(F.count("*").cast("double").alias("n"))
     rows = counts.agg(F.coalesce(F.collect_list(F.struct("votes", "features", "n")), F.array()).alias("p"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"))
     prior_a = "array(" + ", ".join(f"{a}D" for a, _ in PRIORS.values()) + ")"
     prior_b = "array(" + ", ".join(f"{b}D" for _, b in PRIORS.values()) + ")"
@@ -206,14 +265,34 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every accepted span of the text replaced by [KIND]; overlapping spans become one mark, the first's."""
+    """docs with every accepted span of the text replaced by [KIND]; overlapping spans become one mark, the first's.
+
+    The caller's columns are kept, whatever their names.
+    """
     names = docs.columns
-    found = candidates(docs, text_col)
+    at = names.index(text_col)
+    # Under names of our own, for a caller may have columns called _base and _cand.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{at}"
+    # Written once, for the fit and the redaction read it each.
+    found = materialize(candidates(plain, text).drop("_base"), "candidates")
     model = fit(found.select("_cand"))
-    df = found.withColumn("_acc", accepted(model))
-    df = df.withColumn("_all", F.expr("array_sort(transform(_acc, x -> struct(x.start AS start, x.end AS end, x.kind AS kind)))"))
-    masked = f"""aggregate(_all, struct(0 AS pos, cast(array() AS array<string>) AS out),
-      (s, x) -> if(x.start < s.pos, struct(greatest(s.pos, x.end) AS pos, s.out AS out),
-        struct(x.end AS pos, array_append(array_append(s.out, substring(`{text_col}`, s.pos + 1, x.start - s.pos)), concat('[', upper(x.kind), ']')) AS out)),
-      s -> concat(array_join(s.out, ''), substring(`{text_col}`, s.pos + 1)))"""
-    return df.withColumn(text_col, F.expr(f"if(size(_all) = 0, `{text_col}`, {masked})")).select(*names)
+    df = found.withColumn("_a", accepted(model))
+    df = df.withColumn("_s", F.expr("array_sort(transform(_a, x -> struct(x.start AS start, x.end AS end, x.kind AS kind)))"))
+    # A span begins a mark unless one before it reaches beyond its start; a mark ends where the furthest of its spans does.
+    df = df.withColumn("_r", F.expr(running("transform(_s, x -> x.end)", "size(_s)", "greatest(x, p)")))
+    df = df.withColumn("_first", F.expr("filter(transform(_s, (x, i) -> if(i = 0 OR coalesce(get(_r, i - 1), 0) <= x.start, struct(x.start AS start, x.kind AS kind, i AS i), NULL)), x -> x IS NOT NULL)"))
+    df = df.withColumn("_marks", F.expr("transform(_first, (x, n) -> struct(x.start AS start, x.kind AS kind, get(_r, if(n + 1 < size(_first), get(_first, n + 1).i, size(_s)) - 1) AS end))"))
+    # What lies between marks is cut from blocks, piece by piece; a piece runs over whole blocks in its middle.
+    df = df.withColumn("_b", F.expr(f"if(size(_marks) = 0, cast(array() AS array<string>), {blocks_of(text)})"))
+    piece = lambda a, b: (
+        f"if(({b}) - ({a}) <= {BLOCK}, {cut_at('_b', a, f'({b}) - ({a})')}, "
+        f"concat(substring(get(_b, cast(({a}) DIV {BLOCK} AS int)), pmod({a}, {BLOCK}) + 1), "
+        f"array_join(slice(_b, cast(({a}) DIV {BLOCK} AS int) + 2, cast(({b}) DIV {BLOCK} AS int) - cast(({a}) DIV {BLOCK} AS int) - 1), ''), "
+        f"substring(coalesce(get(_b, cast(({b}) DIV {BLOCK} AS int)), ''), 1, pmod({b}, {BLOCK}))))"
+    )
+    before = piece("if(n = 0, 0, get(_marks, n - 1).end)", "x.start")
+    tail = piece("get(_marks, size(_marks) - 1).end", f"length({text})")
+    masked = f"concat(array_join(transform(_marks, (x, n) -> concat({before}, '[', upper(x.kind), ']')), ''), {tail})"
+    df = df.withColumn("_out", F.expr(f"if(size(_marks) = 0, {text}, {masked})"))
+    return df.select(*[F.col("_out" if i == at else f"c{i}").alias(n) for i, n in enumerate(names)])

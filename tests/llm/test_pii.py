@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,3 +68,49 @@ def test_empty_table_and_redaction(spark):
     df = spark.createDataFrame([(1, "mail x.y@z.co now"), (2, None), (3, "clean"), (3, "clean")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["text"]) for r in pii.redact(df.withColumn("n", F.lit(1))).collect())
     assert got == [(1, "mail [EMAIL] now"), (2, None), (3, "clean"), (3, "clean")]
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["_t", "_email", "_base", "_cand", "_all", "_digit", "_given", "c0", "_marks", "x"]
+    df = spark.createDataFrame([(1, "mail x.y@z.co now")], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    got = pii.redact(df)
+    assert got.columns == ["doc_id", "text", *names]
+    assert tuple(got.first()) == (1, "mail [EMAIL] now", *names)
+
+
+def test_overlaps_and_marks_equal_plain_loops(spark):
+    r = random.Random(3)
+    parts = ["a@b.co", "+1 (990) 555-1864", "1.2.3.4", "415-555-2671", "123-45-6789", "4111111111111111", "0a1b" * 8, "word", "\n", "é😀", "key:", "4111 1111 1111 1111"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", "-", ""]) for _ in range(r.randrange(1, 60))) + "z" * r.choice([0, 3000]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.candidates(df)
+    model = pii.fit(found)
+    kinds = [k for k in pii.PATTERNS if k not in pii.BASE]
+    masked = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    for x in found.withColumn("all", pii.accepted(model)).collect():
+        t = texts[x["doc_id"]]
+        spans = [(c["kind"], c["start"], c["end"]) for c in x["_cand"]]
+        fixed = [s for s in spans if s[0] in pii.BASE]
+        meets = lambda a, b: a[1] < b[2] and b[1] < a[2]
+        wide = []
+        for k in kinds:
+            p = re.compile(pii.PATTERNS[k], re.A)
+            wide += [(k, m.start(), m.end()) for m in p.finditer(t) if k != "secret" or re.search("[0-9]", m[0])]
+        wide = [s for s in wide if not any(meets(s, b) for b in fixed)]
+        wide = [s for s in wide if not any(meets(s, b) and kinds.index(b[0]) < kinds.index(s[0]) for b in wide)]
+        assert sorted(spans) == sorted(fixed + wide)
+        out, reach = [], 0
+        for a, b, k in sorted((a["start"], a["end"], a["kind"]) for a in x["all"]):
+            if a >= reach:
+                out += [t[reach:a], f"[{k.upper()}]"]
+            reach = max(reach, b)
+        assert masked[x["doc_id"]] == "".join(out) + t[reach:]
+
+
+def test_very_long_text_in_linear_time(spark):
+    one = "reach me at user.name@mail.example.org or on the phone. "
+    text = one * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert pii.redact(df).first()["text"] == one.replace("user.name@mail.example.org", "[EMAIL]") * 100_000
+    assert time.time() - began < 60
