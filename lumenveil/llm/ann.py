@@ -8,19 +8,21 @@ query is done with a shard once its k-th verified distance is so small, against
 nearer vector would have passed the threshold almost surely; or once the windows cover the shard. No
 cap is set on windows or candidates.
 
-Queries travel in blocks: each block of at most QUERY_BLOCK queries is broadcast, searched in every shard,
-and the shards' k best are merged by query. Shards are formed from whatever a task reads, SHARD vectors at a
-time, so no vector is shuffled.
-
-Defined cases: vectors that are null, zero, of another length than the first query's, or hold null
-or non-finite components take no part; equal distances go to the smaller vec_id; fewer candidates than k give
-fewer rows; repeated rows of one vec_id are candidates each, never for a query of the same vec_id; an empty
-table gives an empty result; extra columns are ignored.
+The index is built once: shards are formed from whatever a task reads, SHARD vectors of one length at a time, so no
+vector is shuffled. Queries travel in blocks: each block of about QUERY_BLOCK queries is broadcast, searched in every
+shard, and the shards' k best are merged by query. Where there is more than one block, the index is written
+and each block reads it. A task's shards share each query's k-th distance so far, so that later shards stop sooner.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a query meets the
+vectors of its own length; an id that several query rows have is one query, with the smallest of their vectors; equal distances
+go to the smaller vec_id; fewer candidates than k give fewer rows; repeated rows of one vec_id are candidates each, never for a query
+of the same vec_id; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +49,22 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Shard:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, sorted_: np.ndarray):
+        """order, sorted_: of each projection the vectors' numbers by their projected value, and these values."""
+        self.ids, self.vectors, self.order, self.sorted = ids, vectors, order, sorted_
+
+    @classmethod
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray) -> "Shard":
         values = vectors.astype(np.float32) @ axes  # n x m
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).copy()  # m x n
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
+        order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).copy()  # m x n
+        return cls(ids, vectors, order, np.take_along_axis(values.T, order, axis=1))
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, axes: np.ndarray, k: int, reach: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the query, ids, distances) of its k best, by distance and id.
 
-    def search(self, q_ids: np.ndarray, queries: np.ndarray, axes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the query, ids, distances) of its k best, by distance and id."""
+        reach: of each query the k-th distance in other shards, infinite at first; what lies beyond isn't looked for. Lowered here.
+        """
+        reach = np.full(len(queries), np.inf) if reach is None else reach
         n, m = len(self.ids), len(self.order)
         at = (queries.astype(np.float32) @ axes).T  # m x queries
         spread = max(float(np.std(self.sorted)), 1e-12)
@@ -65,7 +75,7 @@ class Shard:
         if counts is None:  # in parts that fit
             step = max(1, (1 << 26) // n)
             for lo in range(0, len(queries), step):
-                for i, ids, d in self.search(q_ids[lo : lo + step], queries[lo : lo + step], axes, k):
+                for i, ids, d in self.search(q_ids[lo : lo + step], queries[lo : lo + step], axes, k, reach[lo : lo + step]):
                     yield lo + i, ids, d
             return
         low = np.stack([np.searchsorted(self.sorted[j], at[j]) for j in range(m)])
@@ -96,7 +106,9 @@ class Shard:
                     ids, d = np.concatenate([best[i][0], ids[other]]), np.concatenate([best[i][1], d[other]])
                     keep = np.lexsort((ids, d))[:k]
                     best[i] = ids[keep], d[keep]
-                done = len(best[i][1]) >= k and best[i][1][-1] * SURE <= width
+                if len(best[i][1]) >= k:
+                    reach[i] = min(reach[i], best[i][1][-1])
+                done = reach[i] * SURE <= width
                 covered = not low[:, i].any() and (high[:, i] == n).all()
                 if done or covered:
                     yield i, *best[i]
@@ -110,59 +122,71 @@ def _axes(dim: int) -> np.ndarray:
     return np.random.default_rng(17).standard_normal((dim, PROJECTIONS)).astype(np.float32)
 
 
+INDEX = "dim int, ids binary, vectors binary, ord binary, sorted binary"
+
+
+def index(rows: DataFrame) -> DataFrame:
+    """The shards of rows (vec_id bigint, v), one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(dim: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            s = Shard.build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), _axes(dim))
+            cols = [pa.array([x.tobytes()], pa.binary()) for x in (s.ids, s.vectors, s.order, s.sorted.astype(np.float32))]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *cols], names=["dim", "ids", "vectors", "ord", "sorted"])
+
+        held: dict[int, list] = {}
+        for batch in batches:
+            col = batch.column(1)
+            lengths = col.value_lengths().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for dim in np.unique(lengths).tolist():
+                mine = np.flatnonzero(lengths == dim)
+                v = col.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(mine), dim)
+                held.setdefault(dim, []).append((ids[mine], v))
+                if sum(len(p[0]) for p in held[dim]) >= SHARD:
+                    yield made(dim, held.pop(dim))
+        for dim, parts in held.items():
+            yield made(dim, parts)
+
+    return rows.mapInArrow(run, INDEX)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance, double): each query's k nearest other rows."""
     spark = vectors.sparkSession
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    rows = _usable(vectors, id_col, vector_col)
-    asked = _usable(queries, id_col, vector_col)
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    schema = f"query_id {id_type}, vec_id {id_type}, score double"
+    rows = _usable(vectors, id_col, vector_col).withColumn("vec_id", F.col("vec_id").cast("bigint"))
+    asked = _usable(queries, id_col, vector_col).groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min("v").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    shards = index(rows)
+    if blocks > 1:
+        shards, asked = materialize(shards, "shards"), materialize(asked, "queries")
     found = []
     for b in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        got = part.toArrow()  # at most about QUERY_BLOCK rows
-        ids = got.column("vec_id").to_numpy()
-        dims = [len(v) for v in got.column("v")]
-        dim = dims[0] if dims else 0
-        same = [i for i, d in enumerate(dims) if d == dim]
-        flat = np.array([got.column("v")[i].as_py() for i in same], np.float64).reshape(len(same), dim)
-        shared = spark.sparkContext.broadcast((ids[same], flat))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            axes = _axes(dim)
-
-            def solve(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-                shard = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), axes)
-                out = [(np.full(len(i), q_ids[j]), i, d) for j, i, d in shard.search(q_ids, q, axes, k) if len(i)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-            held, size = [], 0
+        by_dim: dict[int, tuple[list, list]] = {}
+        for row in part.toArrow().to_pylist():  # about QUERY_BLOCK rows
+            of = by_dim.setdefault(len(row["v"]), ([], []))
+            of[0].append(row["vec_id"])
+            of[1].append(row["v"])
+        shared = spark.sparkContext.broadcast({dim: (np.array(i, np.int64), np.array(v, np.float64)) for dim, (i, v) in by_dim.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            reach: dict[int, np.ndarray] = {}
             for batch in batches:
-                if not len(q_ids):
-                    continue
-                col = batch.column(1)
-                lengths = col.value_lengths().to_numpy(zero_copy_only=False)
-                mine = np.flatnonzero(lengths == dim)
-                if not len(mine):
-                    continue
-                v = col.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(mine), dim)
-                held.append((batch.column(0).to_numpy(zero_copy_only=False)[mine], v))
-                size += len(mine)
-                if size >= SHARD:
-                    yield from solve(held)
-                    held, size = [], 0
-            if held:
-                yield from solve(held)
-
-        hits = rows.mapInArrow(run, schema)
+                for row in batch.to_pylist():
+                    dim = row["dim"]
+                    if dim not in shared.value:
+                        continue
+                    q_ids, q = shared.value[dim]
+                    ids = np.frombuffer(row["ids"], np.int64)
+                    arrays = [np.frombuffer(row[c], t).reshape(shape) for c, t, shape in (("vectors", np.float64, (len(ids), dim)), ("ord", np.int32, (-1, len(ids))), ("sorted", np.float32, (-1, len(ids))))]
+                    known = reach.setdefault(dim, np.full(len(q_ids), np.inf))
+                    out = [(np.full(len(i), q_ids[j]), i, d) for j, i, d in Shard(ids, *arrays).search(q_ids, q, _axes(dim), k, known) if len(i)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+        hits = shards.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
         found.append(materialize(hits, "neighbours") if blocks > 1 else hits)
-    all_ = found[0]
-    for more in found[1:]:
-        all_ = all_.unionByName(more)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = all_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -11,8 +11,9 @@ invalid from that turn on (first_invalid, from 0); ending in a state that isn't
 Invalid conversations are formatted all the same and marked.
 
 Defined cases: null texts are empty; null roles are the empty role; turns are ordered by turn (null first),
-then role, then text; repeated rows are repeated turns; rows with a null conv_id form one conversation; an
-empty table gives an empty result; extra columns are ignored. A conversation is one row, however long.
+then role, then text; repeated rows are repeated turns; a row with a null conv_id belongs to no other and is a conversation of
+its own; an empty table gives an empty result; extra columns, also such as are named t or segments, are ignored. A
+conversation is one row, however long: its turns are formatted, read back and masked in time linear in its text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import running
+
 
 @dataclass(frozen=True)
 class Template:
@@ -78,8 +81,9 @@ def unescape(col: str, template: Template) -> str:
 def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
     """rows (conv_id, turn, role, text) -> conv_id, segments (array of text, loss), formatted, valid, first_invalid."""
     template.check()
-    turns = rows.select("conv_id", F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
-    df = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("_turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_own")
+    turns = rows.select("conv_id", alone, F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
+    df = turns.groupBy("conv_id", "_own").agg(F.sort_array(F.collect_list("t")).alias("_turns"))
     learned = f"x.role IN ({', '.join(map(_q, template.learned))})" if template.learned else "false"
     segments = (
         f"flatten(transform(_turns, x -> array("
@@ -116,7 +120,13 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
 
 def mask_spans(segments: Column) -> Column:
     """array (start, length) of the segments with loss, in code points of the formatted string."""
+    ends = running("g.n", "size(g.n)", "x + p")
     return F.expr(
-        "aggregate(segments, struct(0 AS pos, cast(array() AS array<struct<start:int,length:int>>) AS got), (s, x) -> struct("
-        "s.pos + length(x.text) AS pos, if(x.loss, array_append(s.got, struct(s.pos AS start, length(x.text) AS length)), s.got) AS got), s -> s.got)"
+        "filter(transform(array(struct(segments AS s, transform(segments, x -> length(x.text)) AS n)), g -> "
+        f"zip_with(g.s, zip_with({ends}, g.n, (e, n) -> struct(e - n AS start, n AS length)), (x, y) -> if(x.loss, y, NULL)))[0], y -> y IS NOT NULL)"
     )
+
+
+def learned_text(template: Template = Template()) -> Column:
+    """All text under the loss mask of the segments, unescaped, in order."""
+    return F.expr(f"array_join(transform(filter(segments, x -> x.loss), x -> {unescape('x.text', template)}), '')")

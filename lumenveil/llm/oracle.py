@@ -35,24 +35,25 @@ OP4 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 d AS (SELECT q.vec_id AS query_id, o.vec_id, list_distance(q.e, o.e) AS score
-  FROM v q JOIN v o ON q.vec_id % 100 = 0 AND o.vec_id <> q.vec_id AND len(q.e) = len(o.e))
+  FROM q JOIN v o ON o.vec_id <> q.vec_id AND len(q.e) = len(o.e))
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS r FROM d) WHERE r <= 10
 """
 
 OP6 = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(a, b, r, t)),
-o AS (SELECT *, row_number() OVER w - 1 AS i, lag(r) OVER w AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, r DESC, t DESC) AS back
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t)),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT a, NULL, b, r, t FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(a, b, r, t)),
+o AS (SELECT *, row_number() OVER w - 1 AS i, lag(r) OVER w AS p, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn DESC NULLS LAST, r DESC, t DESC) AS back
+  FROM c WINDOW w AS (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, r, t)),
 k AS (SELECT *, CASE WHEN p IS NULL AND i = 0 THEN r IN ('system', 'user') WHEN p = 'system' THEN r = 'user' WHEN p = 'user' THEN r = 'assistant' WHEN p = 'assistant' THEN r = 'user' ELSE false END AS ok,
   30 + length(r) + length(t) + length(regexp_replace(r || t, '[^<\[\\]', '', 'g')) AS n FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars, bool_and(ok) AND bool_or(back = 1 AND r = 'assistant') AS valid, CAST(min(i) FILTER (WHERE NOT ok) AS INTEGER) AS first_invalid
-FROM k GROUP BY conv_id
+FROM k GROUP BY conv_id, own
 """
 
 ORACLE = {"op6_chat": OP6, "op2_warc": OP2, "op4_neighbours": OP4, "op8_decontaminate": OP8}

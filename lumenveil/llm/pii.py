@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, running
 
 BASE = ("email", "ip", "card", "phone")
 #: kind -> Java pattern. Runs are entered at their start or at the end of the match before (\G).
@@ -58,13 +58,6 @@ def _lit(pattern: str) -> str:
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
-def running(array: str, size: str, step: str) -> str:
-    """Running values of an array of numbers by log2(size) doubling steps. step: of x and the value p so far before it."""
-    shift = "cast(shiftleft(1, r) AS int)"
-    once = f"transform(s, (x, i) -> if(i < {shift}, x, {step.replace('p', f'get(s, i - {shift})')}))"
-    return f"if({size} < 2, {array}, aggregate(sequence(0, cast(ceil(log2({size})) AS int) - 1), {array}, (s, r) -> {once}))"
-
-
 def _spans(kind: str) -> str:
     """array<struct<start, end, m>> of the pattern's matches in column _t."""
     p = _lit(PATTERNS[kind])

@@ -67,14 +67,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import format_chats, mask_spans, read_back, unescape, Template
+    from .chat import format_chats, learned_text, read_back
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
-    back = read_back(format_chats(rows.unionByName(extra))).withColumn("_loss", mask_spans(F.col("segments")))
-    learned = f"transform(_loss, x -> {unescape('substring(formatted, x.start + 1, x.length)', Template())})"
-    back = back.withColumn("_learned", F.expr(f"array_join({learned}, '')"))
+    back = read_back(format_chats(rows.unionByName(extra))).withColumn("_learned", learned_text())
     return back.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),

@@ -40,3 +40,35 @@ def test_odd_vectors_ties_and_blocks(spark, monkeypatch):
     assert set(got) == set(want)
     assert all([j for _, j in got[i]] == [j for _, j in want[i]] for i in want)
     assert A.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_repeated_queries_lengths_and_clashing_columns(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(3 if i % 3 else 2).astype(np.float32).tolist()) for i in range(120)]
+    rows += [(100, rows[100][1]), (0, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("v", F.lit("x")).withColumn("score", F.lit(1)).withColumn("ids", F.lit(2))
+    for block in (1, 100):
+        monkeypatch.setattr(A, "QUERY_BLOCK", block)
+        got = {}
+        for x in A.nearest(df, df.filter("vec_id % 20 = 0"), 6).collect():
+            got.setdefault(x["query_id"], {})[x["rank"]] = (x["vec_id"], x["score"])
+        for q in range(0, 120, 20):
+            of = np.array(min(v for i, v in rows if i == q), np.float64)
+            want = sorted((float(np.sqrt(((np.array(v, np.float64) - of) ** 2).sum())), i) for i, v in rows if i != q and len(v) == len(of))[:6]
+            assert [(got[q][k + 1][0], round(got[q][k + 1][1], 12)) for k in range(6)] == [(i, round(d, 12)) for d, i in want]
+
+
+def test_shards_share_what_they_found():
+    """With the k-th distance of other shards known, a shard verifies no more than without."""
+    r = np.random.default_rng(1)
+    v = r.standard_normal((600, 8))
+    axes = A._axes(8)
+    q_ids, q = np.array([1000]), v[:1] + 0.01
+    shards = [A.Shard.build(np.arange(300) + 300 * i, v[300 * i : 300 * i + 300], axes) for i in range(2)]
+    reach = np.full(1, np.inf)
+    found = [x for s in shards for x in s.search(q_ids, q, axes, 5, reach)]
+    got = sorted((d, i) for _, ids, ds in found for i, d in zip(ids, ds))[:5]
+    want = sorted((float(np.sqrt(((x - q[0]) ** 2).sum())), i) for i, x in enumerate(v))[:5]
+    assert [i for _, i in got] == [i for _, i in want] and reach[0] >= want[-1][0] - 1e-9

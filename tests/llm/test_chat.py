@@ -40,6 +40,26 @@ def test_query_equals_brute_force(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(learned), sha(learned))
 
 
+def test_mask_long_conversations_and_rows_without_an_id(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn [{i}]") for i in range(4000)] + [(None, i, "user", "n") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("segments", F.lit("x")).withColumn("t", F.lit("y"))
+    began = time.time()
+    got = C.format_chats(df).withColumn("mask", C.mask_spans(F.col("segments"))).withColumn("learned", C.learned_text()).collect()
+    assert time.time() - began < 60
+    assert len(got) == 51 and all(len(r["segments"]) == 3 for r in got if r["conv_id"] is None)
+    r = next(r for r in got if r["conv_id"] == 1)
+    assert r["learned"] == "".join(t for _, _, role, t in rows if role == "assistant")
+    at, want = 0, []
+    for s in r["segments"]:
+        want += [(at, len(s["text"]))] if s["loss"] else []
+        at += len(s["text"])
+    assert [(m["start"], m["length"]) for m in r["mask"]] == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<[\\/INSTs]>ax", max_size=20))
 def test_escape_hides_control_strings(text):
