@@ -48,7 +48,7 @@ def key_kind(key: str) -> str:
     """PASSWORD, API_KEY or null, by a key's last words (camel case and separators part words)."""
     parted = f"regexp_replace({key}, '(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])', '_')"
     words = f"lower(array_join(filter(split({parted}, '[_-]+'), w -> w <> ''), ' '))"
-    ends = "|".join(fixed.KEY_ENDS)
+    ends = "|".join(" ".join(e) for e in fixed.KEY_ENDS)
     return (
         f"CASE WHEN NOT {key} rlike '^{fixed.KEY}$' THEN NULL WHEN {words} rlike '(^| )({'|'.join(fixed.PASSWORD_KEYS)})$' THEN 'PASSWORD' "
         f"WHEN {words} rlike '(^| )({ends})$' THEN 'API_KEY' END"
