@@ -1,23 +1,26 @@
-"""Overlaps and intervals: resolution, merging, expansion and containment, as folds over a row's arrays."""
+"""Overlaps and intervals: resolution, merging, expansion and containment, by sorts and running values inside a row."""
 
 from __future__ import annotations
 
 from ..functions import fixed
-from ..functions.text import FINDING, empty, lit
+from ..functions.text import FINDING, clusters, empty, lit, meeting
 
 _PRIORITY = "CASE {} " + " ".join(f"WHEN {lit(t)} THEN {p}" for t, p in fixed.PRIORITY.items()) + " ELSE 10000 END"
 
 
 def resolve_sensitive(findings: str) -> str:
-    """Greedy: secrets first, then the longest, the type's priority, the start, the type; by start. Sensitive ones only."""
+    """Greedy: secrets first, then the longest, the type's priority, the start, the type; by start. Sensitive ones only.
+
+    Findings that meet in no chain of overlaps don't concern each other, so each such chain is decided by itself.
+    """
+    keyed = f"transform(filter({findings}, f -> f.sensitivity IN ('secret', 'pii')), f -> struct(f.start AS start, f.end AS end, f AS f))"
     ranked = (
-        f"array_sort(transform(filter({findings}, f -> f.sensitivity IN ('secret', 'pii')), f -> struct("
-        f"if(f.sensitivity = 'secret', 0, 1) AS a, f.start - f.end AS b, {_PRIORITY.format('f.type')} AS c, f.start AS d, f.type AS e, f AS f)))"
-    )
-    taken = (
-        f"aggregate({ranked}, {empty(FINDING)}, (got, x) -> if(exists(got, g -> g.start < x.f.end AND x.f.start < g.end), got, array_append(got, x.f)))"
+        "array_sort(transform(c, x -> struct(if(x.f.sensitivity = 'secret', 0, 1) AS a, x.start - x.end AS b, "
+        f"{_PRIORITY.format('x.f.type')} AS c, x.start AS d, x.f.type AS e, x.f AS f)))"
     )
-    return f"transform(array_sort(transform({taken}, f -> struct(f.start AS s, f AS f))), x -> x.f)"
+    greedy = f"aggregate({ranked}, {empty(FINDING)}, (got, x) -> if(exists(got, g -> g.start < x.f.end AND x.f.start < g.end), got, array_append(got, x.f)))"
+    ordered = f"transform(array_sort(transform({greedy}, f -> struct(f.start AS s, f AS f))), x -> x.f)"
+    return f"flatten(transform({clusters(keyed, False)}, c -> if(size(c) = 1, array(c[0].f), {ordered})))"
 
 
 def instructions(findings: str) -> str:
@@ -36,11 +39,7 @@ INTERVAL = "struct<start:int,end:int>"
 
 def merge(intervals: str) -> str:
     """Merged intervals; touching ones merge."""
-    return (
-        f"aggregate(array_sort(transform({intervals}, x -> struct(x.start AS start, x.end AS end))), {empty(INTERVAL)}, (got, x) -> "
-        f"if(size(got) > 0 AND x.start <= element_at(got, -1).end, "
-        f"array_append(slice(got, 1, size(got) - 1), struct(element_at(got, -1).start AS start, greatest(element_at(got, -1).end, x.end) AS end)), array_append(got, x)))"
-    )
+    return f"transform({clusters(f'transform({intervals}, x -> struct(x.start AS start, x.end AS end))', True)}, c -> struct(c[0].start AS start, array_max(transform(c, x -> x.end)) AS end))"
 
 
 def quarantine(findings: str, sensitive: str) -> str:
@@ -49,8 +48,8 @@ def quarantine(findings: str, sensitive: str) -> str:
     Sensitive spans are disjoint, so that growing once reaches the fixed point.
     """
     base = merge(instructions(findings))
-    grown = f"concat({base}, transform(filter({sensitive}, s -> exists({base}, q -> q.start < s.end AND s.start < q.end)), s -> struct(s.start AS start, s.end AS end)))"
-    return merge(grown)
+    met = f"transform({meeting(sensitive, 'q', True, FINDING)}, s -> struct(s.start AS start, s.end AS end))"
+    return f"transform(array({base}), q -> if(size(q) = 0, q, {merge(f'concat(q, {met})')}))[0]"
 
 
 def merged_count(intervals: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import line_number, lit, rx, split_lines
+from ..functions.text import blocks, empty, line_in_blocks, lines_before, lit, rx, split_lines
 
 SEVERITY = (
     "CASE WHEN f.type IN ('EMAIL', 'PHONE', 'IPV4') THEN 'medium' WHEN f.type IN ('CHINESE_ID', 'PROMPT_INJECTION') THEN 'high' ELSE 'critical' END"
@@ -17,10 +17,12 @@ DETECTOR = "if(f.sensitivity = 'instruction', 'heuristic', 'regex')"
 
 def public_findings(docs: DataFrame, source: str = "path", text: str = "text", findings: str = "findings") -> DataFrame:
     """type, severity, source, line, detector, action of every finding: never its value."""
-    rows = docs.select(
-        F.col(source).alias("source"),
+    df = docs.select(F.col(source).alias("source"), F.col(findings).alias("f"), F.expr(f"if(size({findings}) = 0, {empty('string')}, {blocks(text)})").alias("b"))
+    df = df.withColumn("n", F.expr(lines_before("b")))
+    rows = df.select(
+        "source",
         F.explode(F.expr(
-            f"transform({findings}, f -> struct(f.type AS type, {SEVERITY} AS severity, {line_number(text, 'f.start')} AS line, {DETECTOR} AS detector, {ACTION} AS action))"
+            f"transform(f, f -> struct(f.type AS type, {SEVERITY} AS severity, {line_in_blocks('b', 'n', 'f.start')} AS line, {DETECTOR} AS detector, {ACTION} AS action))"
         )).alias("x"),
     )
     return rows.select("x.type", "x.severity", "source", "x.line", "x.detector", "x.action")

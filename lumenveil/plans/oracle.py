@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import fixed
 from . import corpora
 
 
@@ -11,8 +12,8 @@ def _lit(s: str) -> str:
 
 DOCS = "docs AS (SELECT doc_id, 'docs/doc_' || printf('%08d', doc_id) || '.txt' AS path, coalesce(text, '') AS text FROM documents)"
 N = len(corpora.PAYLOADS)
-PAYLOADS = "payloads AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_lit(p)}, {_lit(','.join(t))})" for i, (p, t) in enumerate(corpora.PAYLOADS)) + ") AS v(k, payload, types))"
-SEEDED = f"{PAYLOADS}, seeded AS (SELECT doc_id, payload, types, string_split(types, ',') AS kinds FROM documents JOIN payloads ON doc_id % {N} = k)"
+PAYLOADS = "payloads AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_lit(p)})" for i, (p, _) in enumerate(corpora.PAYLOADS)) + ") AS v(k, payload))"
+SEEDED = f"{PAYLOADS}, seeded AS (SELECT doc_id, 'seed/doc_' || printf('%08d', doc_id) || '.txt' AS path, coalesce(text, '') || chr(10) || payload AS text FROM documents JOIN payloads ON doc_id % {N} = k)"
 EMAIL_CHARS = "A-Za-z0-9.!#$%&''*+/=?^_`{|}~-"
 EMAIL = f"[{EMAIL_CHARS}]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\\.)+[A-Za-z]{{2,63}}"
 PHONE = r"(?:\+?1[-.\s]?)?\(?[2-9][0-9]{2}\)?[-.\s][0-9]{3}[-.\s][0-9]{4}"
@@ -40,12 +41,49 @@ _ASSIGNED = f"""WITH {DOCS}, m AS (SELECT doc_id, regexp_extract_all(text, '(?:^
 SELECT doc_id, CAST(len(v) AS BIGINT) AS n, sha256(array_to_string(list_transform(v, lambda x: 'API_KEY=' || x), '|')) AS values_sha256 FROM m WHERE len(v) > 0"""
 
 _SEV = "CASE WHEN t IN ('EMAIL', 'PHONE', 'IPV4') THEN 'medium' WHEN t IN ('CHINESE_ID', 'PROMPT_INJECTION') THEN 'high' ELSE 'critical' END"
-_SENS = "CASE WHEN t IN ('EMAIL', 'PHONE', 'IPV4', 'CHINESE_ID') THEN 'pii' WHEN t IN ('PROMPT_INJECTION', 'DATA_EXFILTRATION') THEN 'instruction' ELSE 'secret' END"
-_FOUND = f"{SEEDED}, f AS (SELECT doc_id, t, {_SEV} AS severity, {_SENS} AS sens FROM (SELECT doc_id, unnest(kinds) AS t FROM seeded) WHERE t <> '')"
 
-# Every payload starts on the third line.
-_PUBLIC = f"""WITH {_FOUND} SELECT t AS type, severity, 'seed/doc_' || printf('%08d', doc_id) || '.txt' AS source, CAST(3 AS INTEGER) AS line,
-  if(sens = 'instruction', 'heuristic', 'regex') AS detector, CASE sens WHEN 'secret' THEN 'REDACT' WHEN 'pii' THEN 'PSEUDONYMIZE' ELSE 'ISOLATE' END AS action FROM f"""
+
+def _positions(src: str, kinds: list[tuple[str, str, str]]) -> str:
+    """CTEs up to f(doc_id, t, sens, v, a, b): what patterns (before)(value)(behind) find in the texts of src, and where.
+
+    Personal data inside secrets doesn't count, nor does what a longer find of the same kind holds.
+    """
+    every = " UNION ALL ".join(
+        f"SELECT doc_id, '{t}' AS t, '{s}' AS sens, regexp_extract_all(text, {_lit(p)}, 0) AS w, regexp_extract_all(text, {_lit(p)}, 1) AS l, regexp_extract_all(text, {_lit(p)}, 2) AS v, "
+        f"regexp_split_to_array(text, {_lit(p)}) AS p FROM {src}"
+        for t, s, p in kinds
+    )
+    return f"""found AS ({every}), each_ AS (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM found WHERE len(v) > 0),
+placed AS (SELECT DISTINCT doc_id, t, sens, v[i] AS v, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + length(l[i]) AS BIGINT) AS a FROM each_),
+spans AS (SELECT doc_id, t, sens, v, a, a + length(v) AS b FROM placed WHERE t <> 'IPV4' OR {OCTETS.format('v')}),
+f AS (SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans o WHERE o.doc_id = s.doc_id AND o.a < s.b AND s.a < o.b AND (s.sens = 'pii' AND o.sens = 'secret' OR s.sens = o.sens AND o.b - o.a > s.b - s.a)))"""
+
+
+_PII_KINDS = [("EMAIL", "pii", EMAIL_AT.replace("''", "'")), ("PHONE", "pii", PHONE_AT), ("IPV4", "pii", IP_AT)]
+_LINE_OF = r"(^|[\r\n])([^\r\n]*(?:{})[^\r\n]*)($|[\r\n])"
+_KINDS = [
+    *_PII_KINDS,
+    ("PHONE", "pii", r"(^|[^0-9])((?:\+?86[-.\s]?)?1[3-9][0-9][-.\s]?[0-9]{4}[-.\s]?[0-9]{4})([^0-9]|$)"),
+    ("PHONE", "pii", r"(^|[^\w])(\+[0-9]{1,3}(?:[-.\s]?[0-9]){7,13})([^0-9]|$)"),
+    ("CHINESE_ID", "pii", r"(^|[^0-9])([1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx])([^0-9Xx]|$)"),
+    ("API_KEY", "secret", r"((?:^|[^A-Za-z0-9])[\"]?(?:api_key|token|clientSecret)[\"]?\s*[:=]\s*[\"]?)([A-Za-z0-9_-]{8,})()"),
+    ("API_KEY", "secret", r"(^|[^A-Z0-9_-])([A-Z][A-Z0-9]*_SECRET_[A-Z0-9]*[0-9][A-Z][A-Z0-9]*)([^A-Z0-9_-]|$)"),
+    ("PASSWORD", "secret", r"(^|[^A-Z0-9_-])([A-Z][A-Z0-9]*_PASSWORD_[A-Z0-9]*[0-9][A-Z][A-Z0-9]*)([^A-Z0-9_-]|$)"),
+    ("PASSWORD", "secret", r"((?:^|[^A-Za-z0-9])password\s*[:=]\s*')([^'\r\n]+)(')"),
+    ("BEARER_TOKEN", "secret", r"((?i:\bbearer)[ \t]+)([A-Za-z0-9._~+/=-]{12,})()"),
+    ("JWT", "secret", r"(^|[^A-Za-z0-9_-])([A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})([^A-Za-z0-9_-]|$)"),
+    ("AWS_ACCESS_KEY", "secret", r"(^|[^A-Z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})([^A-Z0-9]|$)"),
+    ("PRIVATE_KEY", "secret", r"()(-----BEGIN RSA PRIVATE KEY-----(?s:.*?)-----END RSA PRIVATE KEY-----)()"),
+    ("DATABASE_URL", "secret", r"(\b)((?i:postgres|postgresql|mysql|mariadb|mongodb|redis|rediss|amqp|mssql)://[^\s\"'<>]+)()"),
+    ("CONNECTION_STRING", "secret", r"(\b)((?i:server|data source|host)\s*=\s*[^;\s\"']+(?:;\s*[A-Za-z][A-Za-z ]*=[^;\r\n\"']*)*?;\s*(?i:password|pwd)\s*=\s*[^;\s\"']+)()"),
+    ("PROMPT_INJECTION", "instruction", _LINE_OF.format(r"(?i:Please ignore\b.{0,60}\bprevious\s+instructions)|(?:绕过|跳过).{0,40}(?:净化|过滤)|(?i:do\s+not\s+use\b.{0,70}\bsafe\s+context\b.{0,180}\bopen\b.{0,100}\braw\b)")),
+    ("PROMPT_INJECTION", "instruction", r"(^|[\r\n])(Ignore[^\r\n]{0,60}[\r\n][^\r\n]{0,60}earlier instructions[^\r\n]*)($|[\r\n])"),
+    ("PROMPT_INJECTION", "instruction", r"()(<!--[^>]*hidden instructions[^>]*-->)()"),
+    ("DATA_EXFILTRATION", "instruction", _LINE_OF.format(r"(?i:upload\b.{0,160}\bprivate\s+keys)|收集.{0,80}凭证.{0,100}发送")),
+]
+_FOUND = f"{SEEDED}, {_positions('seeded', _KINDS)}"
+_PUBLIC = f"""WITH {_FOUND} SELECT t AS type, {_SEV} AS severity, path AS source, CAST(1 + length(left(text, a)) - length(replace(left(text, a), chr(10), '')) AS INTEGER) AS line,
+  if(sens = 'instruction', 'heuristic', 'regex') AS detector, CASE sens WHEN 'secret' THEN 'REDACT' WHEN 'pii' THEN 'PSEUDONYMIZE' ELSE 'ISOLATE' END AS action FROM f JOIN seeded USING (doc_id)"""
 
 
 def _count(*types: str) -> str:
@@ -56,12 +94,25 @@ _SUMMARY = f"""WITH {_FOUND} SELECT {_count('API_KEY')} AS api_keys, {_count('BE
   {_count('PRIVATE_KEY')} AS private_keys, {_count('DATABASE_URL', 'CONNECTION_STRING')} AS database_credentials, {_count('PASSWORD')} AS password_assignments, {_count('EMAIL')} AS emails,
   {_count('PHONE')} AS phones, {_count('CHINESE_ID')} AS chinese_ids, {_count('IPV4')} AS ip_addresses, {_count('EMAIL', 'PHONE', 'CHINESE_ID', 'IPV4')} AS pii_items,
   {_count('PROMPT_INJECTION')} AS prompt_injections, {_count('DATA_EXFILTRATION')} AS data_exfiltration_attempts, {_count('PROMPT_INJECTION', 'DATA_EXFILTRATION')} AS blocked_instructions FROM f"""
+_BY_DOC = f"""{_FOUND}, by_doc AS (SELECT s.doc_id, count(f.t) AS n, count(*) FILTER (WHERE sens = 'secret') AS secrets, count(*) FILTER (WHERE sens = 'instruction') AS orders,
+  count(*) FILTER (WHERE t = 'PRIVATE_KEY') AS keys, coalesce(string_agg(t, ',' ORDER BY t), '') AS types,
+  string_agg(DISTINCT if(t = 'PROMPT_INJECTION', 'injection', 'data_exfiltration'), ',') FILTER (WHERE sens = 'instruction') AS categories FROM seeded s LEFT JOIN f USING (doc_id) GROUP BY s.doc_id)"""
+_LEVEL = "CASE WHEN {0}(keys) > 0 THEN 'CRITICAL' WHEN {0}(secrets) + {0}(orders) > 0 THEN 'HIGH' WHEN {0}(n) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, if({0}(n) > 0, 'ALLOW_WITH_TRANSFORM', 'ALLOW') AS decision"
+_RISK = f"WITH {_BY_DOC} SELECT doc_id, {_LEVEL.format('')} FROM by_doc"
+_CORPUS_RISK = f"WITH {_BY_DOC} SELECT {_LEVEL.format('max')} FROM by_doc"
+_INJECTED = f"WITH {_BY_DOC} SELECT doc_id, categories FROM by_doc WHERE orders > 0"
+
+
+def _replaced(src: str, key: str, label: str, only: str = "true") -> str:
+    """CTE done(key, text, n): texts with every span of f replaced. label: of a row of f."""
+    return f"""cut AS (SELECT {key}, a, b, {label} AS label, coalesce(lag(b) OVER (PARTITION BY {key} ORDER BY a), 0) AS p FROM f WHERE {only}),
+parts AS (SELECT {key}, string_agg(substring(text, CAST(p + 1 AS BIGINT), CAST(a - p AS BIGINT)) || label, '' ORDER BY a) AS head, max(b) AS last, count(*) AS n FROM cut JOIN {src} USING ({key}) GROUP BY {key}),
+done AS (SELECT s.{key}, if(head IS NULL, s.text, head || substring(s.text, CAST(last + 1 AS BIGINT))) AS text, coalesce(n, 0) AS n FROM {src} s LEFT JOIN parts USING ({key}))"""
 
-_RISK = f"""WITH {SEEDED} SELECT doc_id, CASE WHEN list_contains(kinds, 'PRIVATE_KEY') THEN 'CRITICAL'
-  WHEN len(list_filter(kinds, lambda k: k NOT IN ('EMAIL', 'PHONE', 'IPV4', 'CHINESE_ID', ''))) > 0 THEN 'HIGH' WHEN types <> '' THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-  if(types = '', 'ALLOW', 'ALLOW_WITH_TRANSFORM') AS decision FROM seeded"""
-_CORPUS_RISK = f"""WITH {SEEDED} SELECT if(bool_or(types <> ''), 'ALLOW_WITH_TRANSFORM', 'ALLOW') AS decision, CASE WHEN bool_or(types = 'PRIVATE_KEY') THEN 'CRITICAL' ELSE 'HIGH' END AS risk_level FROM seeded"""
-_INJECTED = f"""WITH {SEEDED} SELECT doc_id, if(types = 'PROMPT_INJECTION', 'injection', 'data_exfiltration') AS categories FROM seeded WHERE types IN ('PROMPT_INJECTION', 'DATA_EXFILTRATION')"""
+
+_TRANSFORMED = f"""WITH {_FOUND}, {_replaced('seeded', 'doc_id', "if(sens = 'instruction', '[UNTRUSTED_INSTRUCTION_ISOLATED]', '[' || t || '_REDACTED]')")}
+SELECT doc_id, sha256(text) AS text_sha256, n AS replaced FROM done"""
+_SAFE = f"WITH {_FOUND}, {_replaced('seeded', 'doc_id', _lit(''), _lit('instruction') + ' = sens')} SELECT doc_id, regexp_matches(text, '\\S') AS safe FROM done"
 _COMMENTS = r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '<!--(?s:.*?)-->')) AS v FROM pages), p AS (SELECT page_id, trim(regexp_replace(v, '[\t\r\n ]+', ' ', 'g')) AS v FROM c)
 SELECT page_id, sha256(v) AS projected_sha256, regexp_matches(v, '(?i)system\s+(prompt|override)|hidden\s+instructions?|instructions') AS risky FROM p"""
 _TASKS = "SELECT conv_id, turn, conv_id % 4 <> 0 AS blocked FROM conversations WHERE role = 'user'"
@@ -75,18 +126,9 @@ _SEEN = f"""{DOCS}, {HITS}, seen AS (
 firsts AS (SELECT kind, identity, min(path || printf('%09d', i)) AS f FROM seen GROUP BY ALL),
 reg AS (SELECT kind, identity, '[' || kind || '_' || printf('%03d', row_number() OVER (PARTITION BY kind ORDER BY f)) || ']' AS label FROM firsts)"""
 _REGISTRY = f"WITH {_SEEN} SELECT kind, sha256(identity) AS identity_sha256, label FROM reg"
-_PSEUDO = f"""WITH {_SEEN}, l AS (SELECT path, list(label ORDER BY i) AS labels FROM seen JOIN reg USING (kind, identity) WHERE kind = 'EMAIL' GROUP BY path),
-p AS (SELECT path, regexp_split_to_array(text, '{EMAIL}') AS p, text, labels FROM docs LEFT JOIN l USING (path))
-SELECT path, sha256(if(labels IS NULL, text, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(labels[i], '')), ''))) AS text_sha256 FROM p"""
-
-_MIDDLE = {
-    1: "api_key = [API_KEY_REDACTED]", 2: "Authorization: Bearer [BEARER_TOKEN_REDACTED]", 3: "jwt=[JWT_REDACTED]", 4: "key id [AWS_ACCESS_KEY_REDACTED] in use", 5: "[PRIVATE_KEY_REDACTED]",
-    7: "db [DATABASE_URL_REDACTED] here", 8: "[CONNECTION_STRING_REDACTED]", 9: "password: '[PASSWORD_REDACTED]'", 11: '{"clientSecret": "[API_KEY_REDACTED]"}',
-    13: "marker [API_KEY_REDACTED] seen", 14: "marker [PASSWORD_REDACTED] seen", 16: "id [CHINESE_ID_REDACTED] on file", 17: "reach [PHONE_REDACTED] or [EMAIL_REDACTED]",
-    18: "host [IPV4_REDACTED] and 999.1.1.1 and 01.2.3.4", **{k: "[UNTRUSTED_INSTRUCTION_ISOLATED]" for k in (19, 20, 21, 22, 26, 27)},
-}
-_TRANSFORMED = f"WITH {SEEDED} SELECT doc_id, CASE doc_id % {N} " + " ".join(f"WHEN {k} THEN {_lit(v)}" for k, v in _MIDDLE.items()) + " ELSE payload END AS middle FROM seeded"
-_SAFE = "SELECT doc_id, true AS safe FROM documents"
+_PSEUDO = f"""WITH {_SEEN}, {_positions('docs', _PII_KINDS)}, named AS (SELECT f.*, label FROM f JOIN reg ON reg.kind = t AND reg.identity = CASE t WHEN 'EMAIL' THEN lower(v)
+  WHEN 'PHONE' THEN if(starts_with(v, '+'), '+', '') || regexp_replace(v, '[^0-9]', '', 'g') ELSE v END), {_replaced('docs', 'doc_id', 'label').replace('FROM f WHERE', 'FROM named WHERE')}
+SELECT path, sha256(done.text) AS text_sha256 FROM done JOIN docs USING (doc_id)"""
 
 _FINDINGS = """f AS (SELECT l_orderkey, (['API_KEY', 'EMAIL', 'PHONE', 'PASSWORD', 'IPV4', 'PROMPT_INJECTION'])[CAST(l_partkey % 6 + 1 AS INTEGER)] AS t, CAST(l_suppkey % 40 AS INTEGER) AS s,
   CAST(l_suppkey % 40 + 1 + l_partkey % 11 AS INTEGER) AS e FROM lineitem)"""
@@ -115,14 +157,19 @@ _TOKENS = f"WITH {DOCS} SELECT doc_id, CAST((octet_length(encode(text)) + 3) //
 _JSON = f"WITH {DOCS} SELECT doc_id, CAST(octet_length(encode(CAST(to_json(text) AS VARCHAR))) AS BIGINT) AS bytes FROM docs"
 _ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 _LINES = f"WITH {DOCS}, p AS (SELECT doc_id, text, regexp_split_to_array(text, '{_ENDS}') AS p FROM docs) SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 WHEN p[-1] = '' THEN len(p) - 1 ELSE len(p) END AS BIGINT) AS lines FROM p"
-_EXT = ", ".join(_lit(x) for x in "bash c cfg conf cpp csv go h hpp htm html ini java js json jsonl jsx log markdown md php properties ps1 py rb rs sh sql toml ts tsv tsx txt xml yaml yml zsh".split())
+_EXT = ", ".join(map(_lit, fixed.EXTENSIONS))
 _SOURCES = f"""WITH u AS (SELECT page_id, regexp_replace(url, '^https?:/', CASE page_id % 3 WHEN 0 THEN '..' WHEN 1 THEN '' ELSE '.' END) AS path FROM pages),
 p AS (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM u)
 SELECT page_id, CASE WHEN page_id % 3 IN (0, 1) THEN parts[-1] ELSE array_to_string(parts, '/') END AS source,
   list_contains([{_EXT}], regexp_extract(lower(parts[-1]), '[^.].*\\.([^.]+)$', 1)) AND NOT ends_with(path, '/') AS supported FROM p"""
-_UNIQUE = """WITH p AS (SELECT source || '/' || (doc_id % 50) || '.txt' AS safe, 'doc_' || printf('%08d', doc_id) AS path FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY path) AS n FROM p)
-SELECT path, if(n = 1, safe, safe || '#' || n) AS source FROM n"""
-_STOP = ", ".join(_lit(w) for w in "a an and are as at be by for from how in is it of on or the this to why with".split())
+_UNIQUE = """WITH RECURSIVE p AS (SELECT source || '/' || (doc_id % 50) || '.txt' AS root, doc_id % 11 = 0 AS odd, doc_id % 3 + 2 AS k, 'doc_' || printf('%08d', doc_id) AS path FROM documents),
+n AS (SELECT root, root || if(odd, '#' || k, '') AS safe, path, row_number() OVER (PARTITION BY root ORDER BY path) AS n FROM p),
+u AS (SELECT root, path, safe AS source, n, [safe] AS used FROM n WHERE n = 1
+  UNION ALL SELECT root, path, source, n, list_append(used, source) FROM (SELECT u.root, n.path, n.n, u.used,
+    if(list_contains(u.used, n.safe), n.safe || '#' || list_filter(range(2, len(u.used) + 3), lambda i: NOT list_contains(u.used, n.safe || '#' || i))[1], n.safe) AS source
+    FROM u JOIN n ON n.root = u.root AND n.n = u.n + 1) AS s)
+SELECT path, source FROM u"""
+_STOP = ", ".join(map(_lit, fixed.STOPWORDS))
 _WORDS = "list_distinct(list_filter(list_transform(regexp_extract_all({}, '(?i)[a-z0-9]+(?:[_-][a-z0-9]+)*'), lambda w: lower(w)), lambda w: w NOT IN (" + _STOP + ")))"
 _TASK_TOKENS = f"SELECT conv_id, turn, array_to_string(list_sort({_WORDS.format("coalesce(text, '')")}), ' ') AS tokens FROM conversations"
 
@@ -193,13 +240,13 @@ ff AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS n, CAST(2 AS BIGINT)
     FROM ff JOIN rk ON rk.rn = ff.rn + 1 WHERE ff.n < 8) x)
 SELECT ff.n AS position, source, start_line, score, lane, (SELECT count(*) FROM rk) AS scored, CAST((SELECT (max(used) + 3) // 4 FROM ff) AS BIGINT) AS tokens FROM ff JOIN rk USING (rn) WHERE took"""
 
-_GATE = f"""WITH {SEEDED} SELECT doc_id, CAST(len(list_filter(kinds, lambda k: k NOT IN ('', 'PROMPT_INJECTION', 'DATA_EXFILTRATION'))) AS BIGINT) AS sensitive_spans,
-  CAST(len(list_filter(kinds, lambda k: k IN ('PROMPT_INJECTION', 'DATA_EXFILTRATION'))) AS BIGINT) AS instruction_spans, CAST(0 AS BIGINT) AS left_over FROM seeded"""
+_GATE = f"""WITH {_BY_DOC} SELECT doc_id, n - orders AS sensitive_spans, least(orders, 1) AS instruction_spans, CAST(0 AS BIGINT) AS left_over FROM by_doc"""
 _LEAKS = f"WITH {DOCS}, {HITS} SELECT doc_id, CAST(len(list_distinct(list_concat(list_concat(emails, phones), ips))) AS BIGINT) AS leaked_raw, CAST(0 AS BIGINT) AS leaked FROM hits WHERE len(emails) + len(phones) + len(ips) > 0"
-_DIGITS = f"""WITH {DOCS}, {HITS}, v AS (SELECT DISTINCT unnest(phones) AS v FROM hits), d AS (SELECT DISTINCT v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM v WHERE v LIKE '+1%'),
-p AS (SELECT d FROM d ORDER BY d LIMIT 3) SELECT (SELECT count(*) FROM p) AS payloads, (SELECT count(DISTINCT v) FROM v JOIN p ON contains(p.d, regexp_replace(v, '[^0-9]', '', 'g'))) AS leaks"""
+_DIGITS = f"""WITH {DOCS}, {HITS}, v AS (SELECT DISTINCT unnest(list_concat(phones, list_concat(emails, ips))) AS v FROM hits), d AS (SELECT DISTINCT regexp_replace(v, '[^0-9]', '', 'g') AS d FROM v WHERE v LIKE '+1%')
+SELECT (SELECT count(*) FROM d) AS payloads, (SELECT count(*) FROM v WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7 AND regexp_replace(v, '[^0-9]', '', 'g') IN (SELECT d FROM d)) AS leaks"""
 _GATED = "SELECT * FROM (VALUES ('good', true), ('extra_key', false), ('missing_key', false), ('wrong_type', false), ('duplicate_key', false), ('nan', false), ('not_json', false)) AS v(name, accepted)"
-_RATIO = f"""WITH {DOCS}, t AS (SELECT doc_id, (octet_length(encode(text)) + 3) // 4 AS o, (octet_length(encode(left(text, 300))) + 3) // 4 AS k FROM docs)
+_RATIO = f"""WITH {DOCS}, {_positions('docs', _PII_KINDS)}, {_replaced('docs', 'doc_id', "'[' || t || '_REDACTED]'")},
+t AS (SELECT doc_id, (octet_length(encode(docs.text)) + 3) // 4 AS o, (octet_length(encode(done.text)) + 3) // 4 AS k FROM docs JOIN done USING (doc_id))
 SELECT doc_id, CAST(round_even(if(o = 0, 0, round_even(1 - k / o, 6)) * 1000000, 0) AS BIGINT) AS millionths FROM t"""
 _CAPSULE = f"""WITH RECURSIVE {first_fit(_WINDOWS, 3000, 8)} SELECT 'fact_' || printf('%03d', ff.n) AS id, source, if(start_line = end_line, 'L' || start_line, 'L' || start_line || '-L' || end_line) AS local_ref, score,
   'ALLOW' AS decision, 'LOW' AS risk_level FROM ff JOIN rk USING (rn) WHERE took"""
@@ -212,11 +259,13 @@ SELECT l_orderkey, CAST(round_even(if(a = 0, NULL, h / a) * 1000000, 0) AS BIGIN
 _PERCENTILE = "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.95) AS percentile FROM lineitem GROUP BY l_returnflag"
 _AB = """WITH m AS (SELECT l_suppkey, l_returnflag, max(l_quantity) AS m, max(l_discount) < 0.1 AS ok FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL)
 SELECT l_suppkey, if(bool_and(ok), round_even(max(m) FILTER (WHERE l_returnflag = 'R') - max(m) FILTER (WHERE l_returnflag = 'A'), 6), NULL) AS delta FROM m GROUP BY l_suppkey"""
-_FORBIDDEN = f"""WITH {SEEDED} SELECT DISTINCT v AS value FROM (SELECT unnest(CASE WHEN payload LIKE 'reach 138%' THEN ['138-1234-5678', 'jane@mail.example.org'] WHEN payload LIKE 'db postgres%' THEN ['p@db.invalid'] ELSE [] END) AS v FROM seeded UNION ALL SELECT 'listed-value')"""
+_FORBIDDEN = f"""WITH {SEEDED} SELECT DISTINCT v AS value FROM (SELECT unnest(regexp_extract_all(text, '{EMAIL_AT}', 2)) AS v FROM seeded
+  UNION ALL SELECT unnest(regexp_extract_all(text, '(^|[^0-9])((?:\\+?86[-.\\s]?)?1[3-9][0-9][-.\\s]?[0-9]{{4}}[-.\\s]?[0-9]{{4}})([^0-9]|$)', 2)) FROM seeded
+  UNION ALL SELECT trim(unnest(regexp_extract_all(text, '(?m)^[A-Z][A-Z0-9_]*=(.+)$', 1))) FROM seeded UNION ALL SELECT 'listed-value')"""
 
 ORACLE = {
     "pii_email_findings": _kind("emails"), "pii_phone_findings": _kind("phones"), "pii_ipv4_findings": _kind("ips"), "email_spans": _EMAIL_SPANS, "secret_assignment_findings": _ASSIGNED,
-    "seeded_findings": f"WITH {SEEDED} SELECT doc_id, types FROM seeded", "findings_public": _PUBLIC, "security_summary": _SUMMARY, "risk_and_decision": _RISK, "corpus_decision": _CORPUS_RISK,
+    "seeded_findings": f"WITH {_BY_DOC} SELECT doc_id, types FROM by_doc", "findings_public": _PUBLIC, "security_summary": _SUMMARY, "risk_and_decision": _RISK, "corpus_decision": _CORPUS_RISK,
     "corpus_stats": f"WITH {DOCS} SELECT count(*) AS inspected, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes FROM docs", "injection_documents": _INJECTED, "html_comments": _COMMENTS,
     "task_blocked": _TASKS, "redacted_documents": _REDACTED, "pseudonym_registry": _REGISTRY, "pseudonymized_documents": _PSEUDO, "seeded_transformed": _TRANSFORMED, "safe_content": _SAFE,
     "overlap_resolved": _OVERLAP, "quarantine_merged": _QUARANTINE, "merged_interval_count": _MERGED, "token_estimates": _TOKENS, "stable_json_bytes": _JSON, "split_lines": _LINES,

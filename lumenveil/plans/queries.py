@@ -112,12 +112,11 @@ def pseudonym_registry(spark, sf_dir):
 
 def pseudonymized_documents(spark, sf_dir):
     found = detect.detect_pii(corpora.docs(spark, sf_dir))
-    only = found.withColumn("findings", F.expr("filter(findings, f -> f.type = 'EMAIL')"))
-    return transform.pseudonymize(only, ["path"]).select("path", F.sha2("transformed", 256).alias("text_sha256"))
+    return transform.pseudonymize(found, ["path"]).select("path", F.sha2("transformed", 256).alias("text_sha256"))
 
 
 def seeded_transformed(spark, sf_dir):
-    return transform.redact(_seeded(spark, sf_dir)).select("doc_id", F.expr(r"regexp_extract(transformed, '^start of file\\n\\n([\\s\\S]*)\\n\\nend of file', 1)").alias("middle"))
+    return transform.redact(_seeded(spark, sf_dir)).select("doc_id", F.sha2("transformed", 256).alias("text_sha256"), F.size("replacements").cast("bigint").alias("replaced"))
 
 
 def safe_content(spark, sf_dir):
@@ -169,7 +168,9 @@ def safe_sources(spark, sf_dir):
 
 
 def unique_sources(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat("source", F.lit("/"), F.expr("doc_id % 50"), F.lit(".txt")).alias("safe"), F.format_string("doc_%08d", "doc_id").alias("path"))
+    # One in eleven is named like a numbered one, so that names are taken before and after their number comes up.
+    name = F.concat("source", F.lit("/"), F.expr("doc_id % 50"), F.lit(".txt"), F.expr("if(doc_id % 11 = 0, concat('#', doc_id % 3 + 2), '')"))
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select(name.alias("safe"), F.format_string("doc_%08d", "doc_id").alias("path"))
     return transform.unique_sources(df, "safe", "path").select("path", "source")
 
 
@@ -293,7 +294,7 @@ def gate_inspection(spark, sf_dir):
     """What the gate counts in raw texts, and that transformed ones are clean."""
     found = written(_seeded(spark, sf_dir), "found")
     raw = gate.inspect_rows(found, "text", "findings").select("doc_id", "sensitive_spans", "instruction_spans")
-    done = transform.redact(found)
+    done = written(transform.redact(found).select("doc_id", "transformed"), "done")
     after = gate.inspect_rows(done, "transformed").select("doc_id", F.expr("sensitive_spans + instruction_spans").alias("left_over"))
     return raw.join(after, "doc_id")
 
@@ -306,13 +307,12 @@ def registry_leaks(spark, sf_dir):
 
 
 def digit_leaks(spark, sf_dir):
-    """Registered phone numbers that a payload holds as bare digits."""
+    """Registered values that a payload of all registered North American numbers holds as bare digits."""
     planned = transform.plan(detect.detect_pii(corpora.docs(spark, sf_dir)))
-    values = planned.select(F.explode("originals").alias("value")).distinct()
-    phones = values.filter("value LIKE '+1%'")
-    payload = [r[0] for r in phones.select(F.regexp_replace("value", "[^0-9]", "").alias("d")).orderBy("d").limit(3).collect()]
-    hit = gate.relevant_values(values, payload)
-    return spark.createDataFrame([(len(payload), len(hit))], "payloads bigint, leaks bigint")
+    values = written(planned.select(F.explode("originals").alias("value")).distinct(), "values")
+    payload = values.filter("value LIKE '+1%'").select(F.expr(gate.bare_digits("value")).alias("text")).distinct()
+    leaked = gate.digit_leaks(values, payload, "text")
+    return payload.agg(F.count("*").alias("payloads")).crossJoin(leaked.agg(F.count("*").alias("leaks")))  # a row each
 
 
 def response_gate(spark, sf_dir):
@@ -338,7 +338,9 @@ def response_gate(spark, sf_dir):
 
 
 def reduction_ratio(spark, sf_dir):
-    df = corpora.docs(spark, sf_dir).select("doc_id", F.expr(T.estimate_tokens("text")).alias("original"), F.expr(T.estimate_tokens("left(text, 300)")).alias("kept"))
+    """What redaction takes off every document, in estimated tokens."""
+    done = transform.redact(detect.detect_pii(corpora.docs(spark, sf_dir)))
+    df = done.select("doc_id", F.expr(T.estimate_tokens("text")).alias("original"), F.expr(T.estimate_tokens("transformed")).alias("kept"))
     return df.select("doc_id", F.expr(f"cast(bround({summary.reduction('kept', 'original')} * 1000000) AS bigint)").alias("millionths"))
 
 
