@@ -117,8 +117,8 @@ def _corpus(spark: SparkSession, source: str | Path | DataFrame, policy: Policy,
     return load_path(spark, source, Limits(policy.max_files, policy.max_file_bytes, policy.max_total_bytes)), log
 
 
-def scan(spark: SparkSession, source: str | Path | DataFrame, policy_path=None, audit_log=None, max_findings: int | None = None) -> dict:
-    """The report on a corpus. Findings are listed in it, so a large table calls for scan_table()."""
+def scan(spark: SparkSession, source: str | Path | DataFrame, policy_path=None, audit_log=None) -> dict:
+    """The report on a corpus. Findings are listed in it, as the contract has it, and come to the driver: a large table calls for scan_table()."""
     began, policy = time.monotonic(), load_policy(policy_path)
     corpus, log = _corpus(spark, source, policy, audit_log)
     work = Workspace(spark, corpus, policy)

@@ -244,7 +244,21 @@ _GATE = f"""WITH {_BY_DOC} SELECT doc_id, n - orders AS sensitive_spans, least(o
 _LEAKS = f"WITH {DOCS}, {HITS} SELECT doc_id, CAST(len(list_distinct(list_concat(list_concat(emails, phones), ips))) AS BIGINT) AS leaked_raw, CAST(0 AS BIGINT) AS leaked FROM hits WHERE len(emails) + len(phones) + len(ips) > 0"
 _DIGITS = f"""WITH {DOCS}, {HITS}, v AS (SELECT DISTINCT unnest(list_concat(phones, list_concat(emails, ips))) AS v FROM hits), d AS (SELECT DISTINCT regexp_replace(v, '[^0-9]', '', 'g') AS d FROM v WHERE v LIKE '+1%')
 SELECT (SELECT count(*) FROM d) AS payloads, (SELECT count(*) FROM v WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7 AND regexp_replace(v, '[^0-9]', '', 'g') IN (SELECT d FROM d)) AS leaks"""
-_GATED = "SELECT * FROM (VALUES ('good', true), ('extra_key', false), ('missing_key', false), ('wrong_type', false), ('duplicate_key', false), ('nan', false), ('not_json', false)) AS v(name, accepted)"
+# What the contract says of each case.
+_GOOD = ("health_good", "scan_good", "scan_no_findings", "analyze_good", "analyze_blocked", "analyze_confirm")
+_BAD = (
+    *(f"{c}_{n}" for c in ("health", "scan", "analyze") for n in ("missing_key", "not_json", "duplicate_key", "nan")), "health_extra_key", "health_wrong_type", "scan_bad_line", "scan_bad_source",
+    "scan_secret", "scan_bad_counter", "analyze_blocked_with_facts", "analyze_leaked", "analyze_ratio", "analyze_order", "analyze_bad_ref", "analyze_warned_with_facts",
+)
+_GATED = "SELECT * FROM (VALUES " + ", ".join([f"('{n}', true)" for n in _GOOD] + [f"('{n}', false)" for n in _BAD]) + ") AS v(name, accepted)"
+_CODES = "c AS (SELECT unnest([" + ", ".join(map(_lit, fixed.ERRORS)) + "]) AS code, unnest([" + ", ".join(map(_lit, fixed.ERRORS.values())) + "]) AS message)"
+_ERROR_GATE = f"WITH {_CODES} SELECT a.code || '/' || b.code AS name, a.message = b.message AS accepted FROM c a CROSS JOIN c b"
+_CHECKED = r"""WITH s AS (SELECT if(page_id % 4 = 0, (['', '/', 'a/../', './', 'x\', 'a//'])[CAST(page_id % 6 + 1 AS INTEGER)], 'ok/') || (page_id // if(page_id % 7 = 0, 14, 1)) AS source FROM pages)
+SELECT source FROM s WHERE source = '' OR starts_with(source, '/') OR contains(source, chr(92)) OR regexp_matches(source, '(^|/)(|\.|\.\.)(/|$)')
+UNION ALL SELECT source FROM s GROUP BY source HAVING count(*) > 1"""
+_INGESTED = """WITH n AS (SELECT n_nationkey AS k, n_name || chr(10) || n_nationkey AS text FROM nation WHERE n_nationkey % 5 IN (0, 1, 3)),
+f AS (SELECT 'r' || (k % 5) || if(k % 5 = 3, '/.h', '') || '/n' || k || CASE k % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' ELSE '.py' END AS path, text, octet_length(encode(text)) + 3 * (k % 2) AS b FROM n)
+SELECT path, text, CAST(b AS BIGINT) AS byte_size, (SELECT count(*) FROM f) AS inspected, (SELECT count(*) + 1 FROM nation WHERE n_nationkey % 5 NOT IN (0, 1, 3)) AS skipped, CAST((SELECT sum(b) FROM f) AS BIGINT) AS total_bytes FROM f"""
 _RATIO = f"""WITH {DOCS}, {_positions('docs', _PII_KINDS)}, {_replaced('docs', 'doc_id', "'[' || t || '_REDACTED]'")},
 t AS (SELECT doc_id, (octet_length(encode(docs.text)) + 3) // 4 AS o, (octet_length(encode(done.text)) + 3) // 4 AS k FROM docs JOIN done USING (doc_id))
 SELECT doc_id, CAST(round_even(if(o = 0, 0, round_even(1 - k / o, 6)) * 1000000, 0) AS BIGINT) AS millionths FROM t"""
@@ -271,6 +285,6 @@ ORACLE = {
     "overlap_resolved": _OVERLAP, "quarantine_merged": _QUARANTINE, "merged_interval_count": _MERGED, "token_estimates": _TOKENS, "stable_json_bytes": _JSON, "split_lines": _LINES,
     "safe_sources": _SOURCES, "unique_sources": _UNIQUE, "task_tokens": _TASK_TOKENS, "line_scores": _SCORES, "evidence_windows": _EVIDENCE, "selected_facts": _SELECTED,
     "candidate_packing": _PACKING, "scope_anchors": _ANCHORS, "cosine_quantized": _COSINE, "scope_calibration": _SCOPE, "hybrid_signals": _SIGNALS, "hybrid_scores": _HYBRID_SCORES,
-    "hybrid_selected": _HYBRID_SELECTED, "gate_inspection": _GATE, "registry_leaks": _LEAKS, "digit_leaks": _DIGITS, "response_gate": _GATED, "reduction_ratio": _RATIO, "analyze_capsule": _CAPSULE,
+    "hybrid_selected": _HYBRID_SELECTED, "gate_inspection": _GATE, "registry_leaks": _LEAKS, "digit_leaks": _DIGITS, "response_gate": _GATED, "error_gate": _ERROR_GATE, "source_checks": _CHECKED, "ingested_files": _INGESTED, "reduction_ratio": _RATIO, "analyze_capsule": _CAPSULE,
     "precision_recall": _PR, "retrieval_metrics": _RETRIEVAL, "nearest_rank_percentile": _PERCENTILE, "ab_delta": _AB, "forbidden_values": _FORBIDDEN,
 }
