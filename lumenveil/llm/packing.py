@@ -38,8 +38,8 @@ from ._common import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Work of the branch and bound at most: for each node 50 and one for each length left.
-WORK = 1_500_000
+#: Work of the branch and bound at most: its nodes, for each 50 and one for each length left, and the steps of the walks over fillings.
+WORK = 1_000_000
 #: Fillings that are put in order at a time.
 CHOICES = 256
 
@@ -47,13 +47,14 @@ CHOICES = 256
 # ---------------------------------------------------------------- solver
 
 
-def fillings(lengths: list[int], count: dict[int, int], room: int, waste: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+def fillings(lengths: list[int], count: dict[int, int], room: int, waste: int, meter: list[int] | None = None) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
     """(((length, copies), ...), its waste) of every undominated filling that leaves at most `waste` of the room, larger lengths first.
 
     lengths: ascending, with count > 0. A filling is dominated if an unused length would still fit, or if a longer
     unused length could take the place of one used or of two. Nothing is walked that leads to no filling: a set of bits
-    says which sums the smaller lengths can reach.
+    says which sums the smaller lengths can reach. meter: a single number that falls by one with each step; at 0 the walk ends.
     """
+    meter = [-1] if meter is None else meter
     usable = lengths[: bisect_right(lengths, room)]
     mask = (1 << (room + 1)) - 1
     reach = [1]
@@ -73,6 +74,9 @@ def fillings(lengths: list[int], count: dict[int, int], room: int, waste: int) -
     copies: int | None = None  # None: not tried yet
     while leads(len(usable), room):
         while i > 0:
+            if meter[0] == 0:
+                return
+            meter[0] -= 1
             if copies is None:
                 i = bisect_right(usable, left, 0, i)
                 if not i:
@@ -91,7 +95,7 @@ def fillings(lengths: list[int], count: dict[int, int], room: int, waste: int) -
             found = tuple((usable[k - 1], n) for k, _, n in chosen)
             if left <= waste and _undominated(lengths, count, found, left):
                 yield found, left
-        if not chosen:
+        if not chosen or meter[0] == 0:
             return
         i, left, copies = chosen.pop()
 
@@ -198,8 +202,9 @@ def _branch_and_bound(hist: dict[int, int], capacity: int, least: int, n_best: i
     # Depth first without recursion: of each level its choices, (content, times, waste of one), the one in force is the path's.
     path: list[tuple[tuple[tuple[int, int], ...], int, int]] = []
     stack: list[Iterator] = []
-    opened = wasted = spent = 0
+    opened = wasted = 0
     fresh = False
+    meter = [work]
 
     def move(content: tuple[tuple[int, int], ...], times: int) -> None:
         for x, n in content:
@@ -220,8 +225,8 @@ def _branch_and_bound(hist: dict[int, int], capacity: int, least: int, n_best: i
         move(((top, 1),), -1)
         # Sequences that are full to the last unit first; each next round doubles the waste that it takes.
         low = 0
-        while low <= min(slack, capacity - top):
-            ways = (f for f in fillings(own, left, capacity - top, min(2 * low, slack)) if f[1] >= low)
+        while low <= min(slack, capacity - top) and meter[0]:
+            ways = (f for f in fillings(own, left, capacity - top, min(2 * low, slack), meter) if f[1] >= low)
             while some := list(islice(ways, CHOICES)):
                 some.sort(key=lambda f: (f[1], -sum(weight.get(x, 0) * n for x, n in f[0])))
                 for filling, waste in some:
@@ -234,10 +239,10 @@ def _branch_and_bound(hist: dict[int, int], capacity: int, least: int, n_best: i
                         yield content, times, waste
             low = 2 * low + 1
 
-    while spent < work and n_best > least:
+    while meter[0] and n_best > least:
         if len(stack) == len(path):
             if wasted <= (n_best - 1) * capacity - total and lengths:
-                spent += 50 + len(lengths)
+                meter[0] = max(0, meter[0] - 50 - len(lengths))
                 stack.append(choices())
             else:
                 stack.append(iter(()))
@@ -254,7 +259,7 @@ def _branch_and_bound(hist: dict[int, int], capacity: int, least: int, n_best: i
         if step is None:
             stack.pop()
             if not path:
-                return spent, best, left_over, True
+                return work - meter[0], best, left_over, meter[0] > 0
             content, times, waste = path.pop()
             move(content, -times)
             opened, wasted = opened - times, wasted - times * waste
@@ -262,7 +267,7 @@ def _branch_and_bound(hist: dict[int, int], capacity: int, least: int, n_best: i
             move(step[0], step[1])
             path.append(step)
             opened, wasted = opened + step[1], wasted + step[1] * step[2]
-    return spent, best, left_over, n_best <= least
+    return work - meter[0], best, left_over, n_best <= least
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:

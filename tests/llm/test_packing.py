@@ -149,3 +149,10 @@ def test_fillings_are_all_undominated_ones(seed):
         if not any(y <= left or any(a < y <= a + left for a in parts) or any(ab <= y <= ab + left for ab in pairs) for y in spare):
             want.add(tuple((k, c) for k, c in zip(keys, copies) if c))
     assert {f for f, _ in P.fillings(sorted(hist), hist, room, waste)} == want
+
+
+def test_work_is_bounded_where_almost_every_filling_is_dominated():
+    r = random.Random(1)
+    hist = {x: r.randint(1, 40) for x in range(5, 400)}
+    spent, *_ = P._branch_and_bound(hist, 4096, 0, 10**9, 20_000, {})
+    assert spent == 20_000
