@@ -21,11 +21,11 @@ def public_findings(docs: DataFrame, source: str = "path", text: str = "text", f
     df = df.withColumn("n", F.expr(lines_before("b")))
     rows = df.select(
         "source",
-        F.explode(F.expr(
+        F.explode_outer(F.expr(
             f"transform(f, f -> struct(f.type AS type, {SEVERITY} AS severity, {line_in_blocks('b', 'n', 'f.start')} AS line, {DETECTOR} AS detector, {ACTION} AS action))"
         )).alias("x"),
     )
-    return rows.select("x.type", "x.severity", "source", "x.line", "x.detector", "x.action")
+    return rows.filter("x IS NOT NULL").select("x.type", "x.severity", "source", "x.line", "x.detector", "x.action")
 
 
 def sorted_findings(public: DataFrame) -> DataFrame:

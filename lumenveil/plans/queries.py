@@ -40,7 +40,7 @@ def pii_ipv4_findings(spark, sf_dir):
 
 def email_spans(spark, sf_dir):
     found = detect.detect_pii(corpora.docs(spark, sf_dir))
-    rows = found.select("doc_id", "text", F.explode(F.expr("filter(findings, f -> f.type = 'EMAIL')")).alias("f"))
+    rows = found.select("doc_id", "text", F.explode_outer(F.expr("filter(findings, f -> f.type = 'EMAIL')")).alias("f")).filter("f IS NOT NULL")
     return rows.select("doc_id", F.col("f.start").cast("bigint").alias("start_at"), F.col("f.end").cast("bigint").alias("end_at"), F.expr(T.line_number("text", "f.start")).cast("bigint").alias("line"))
 
 
@@ -106,7 +106,7 @@ def redacted_documents(spark, sf_dir):
 
 
 def pseudonym_registry(spark, sf_dir):
-    planned = transform.plan(detect.detect_pii(corpora.docs(spark, sf_dir)))
+    planned = written(transform.plan(detect.detect_pii(corpora.docs(spark, sf_dir))).select("path", "replacements"), "planned")
     return transform.registry(planned, ["path"]).select("kind", F.sha2("identity", 256).alias("identity_sha256"), "label")
 
 
@@ -311,7 +311,7 @@ def registry_leaks(spark, sf_dir):
 def digit_leaks(spark, sf_dir):
     """Registered values that a payload of all registered North American numbers holds as bare digits."""
     planned = transform.plan(detect.detect_pii(corpora.docs(spark, sf_dir)))
-    values = written(planned.select(F.explode("originals").alias("value")).distinct(), "values")
+    values = written(planned.select(F.explode_outer("originals").alias("value")).filter("value IS NOT NULL").distinct(), "values")
     payload = values.filter("value LIKE '+1%'").select(F.expr(gate.bare_digits("value")).alias("text")).distinct()
     leaked = gate.digit_leaks(values, payload, "text")
     return payload.agg(F.count("*").alias("payloads")).crossJoin(leaked.agg(F.count("*").alias("leaks")))  # a row each
