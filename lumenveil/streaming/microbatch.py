@@ -19,7 +19,7 @@ def findings_stream(docs: DataFrame) -> DataFrame:
 
 def counts_by_window(docs: DataFrame, time: str = "ts", every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """How many findings of each type each window has. docs: (path, text, ts), streaming or not."""
-    found = detect.detect_all(docs.withWatermark(time, late)).select(time, F.explode("findings").alias("f"))
+    found = detect.detect_all(docs.withWatermark(time, late)).select(time, F.explode_outer("findings").alias("f")).filter("f IS NOT NULL")
     return found.groupBy(F.window(time, every), "f.type").agg(F.count("*").alias("n"))
 
 
